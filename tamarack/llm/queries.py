@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import cross_split, near_duplicates
+from . import cross_split, lookalikes, mojibake, near_duplicates
 
 
 def queries():
     return {
+        "p1_found": lookalikes.p1_found,
+        "p1_normalized": lookalikes.p1_normalized,
+        "p3_found": mojibake.p3_found,
+        "p3_repaired": mojibake.p3_repaired,
         "p2_found": near_duplicates.p2_found,
         "p4_found": cross_split.p4_found,
         "p4_report": cross_split.p4_report,
