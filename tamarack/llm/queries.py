@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cross_split, lookalikes, mojibake, near_duplicates
+from . import cross_split, lookalikes, mojibake, near_duplicates, newtext
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "p1_normalized": lookalikes.p1_normalized,
         "p3_found": mojibake.p3_found,
         "p3_repaired": mojibake.p3_repaired,
+        "p5_found": newtext.p5_found,
+        "p5_new_text": newtext.p5_new_text,
         "p2_found": near_duplicates.p2_found,
         "p4_found": cross_split.p4_found,
         "p4_report": cross_split.p4_report,
