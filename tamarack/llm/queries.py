@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cross_split, lookalikes, mojibake, near_duplicates, newtext
+from . import cross_split, lookalikes, mojibake, near_duplicates, newtext, personal
 
 
 def queries():
@@ -13,6 +13,8 @@ def queries():
         "p3_repaired": mojibake.p3_repaired,
         "p5_found": newtext.p5_found,
         "p5_new_text": newtext.p5_new_text,
+        "p7_found": personal.p7_found,
+        "p7_redacted": personal.p7_redacted,
         "p2_found": near_duplicates.p2_found,
         "p4_found": cross_split.p4_found,
         "p4_report": cross_split.p4_report,
