@@ -51,6 +51,18 @@ def _bytes_of(page: str) -> dict[str, int]:
 
 
 PAGES = {p: _bytes_of(p) for p in {*STRUCTURED_PAGES, *LETTER_PAGES, *(r for _, r in BYTE_PAIRS)}}
+def _pair_table(true: str, read: str) -> dict[int, str]:
+    """Character as read -> character as written; a byte the true page lacks gives a character no mail holds."""
+    table = {}
+    for c, b in PAGES[read].items():
+        try:
+            table[ord(c)] = bytes([b]).decode(true)
+        except UnicodeDecodeError:
+            table[ord(c)] = "\uffff"
+    return table
+
+
+PAIR_TABLES = [_pair_table(*pair) for pair in BYTE_PAIRS]
 SUSPECT = {c for page in PAGES.values() for c in page} - AT_HOME
 
 
@@ -152,34 +164,33 @@ class Repairer:
         if not odd:
             return None
         chars = {c for w in odd for c in w if c > "\x7f"}
-        for true, read in BYTE_PAIRS:
-            table = PAGES[read]
-            if not any(c in table for c in chars):
+        for table in PAIR_TABLES:
+            if not any(ord(c) in table for c in chars):
                 continue
-            change, total, most, seen = {}, 0.0, 0.0, 0
-            for w in words:
-                raw = [table.get(c, -1) if c > "\x7f" else ord(c) for c in w]
-                if max(raw) < 0x80:
-                    continue
-                try:
-                    new = "".join(bytes([b]).decode(true) if b >= 0x80 else c for b, c in zip(raw, w))
-                except UnicodeDecodeError:
-                    continue
-                if new == w or not _plausible("".join(c for c in new if c > "\x7f")) or not _one_script(new) or not self.familiar(new):
-                    continue
-                more = self.likely(new) - max(self.likely(w), self.likely(w.lower()) if w.isupper() else self.floor)
-                if more >= 1.0:
-                    change[w] = new
-                    if not _LIGATURES.sub("", w).isascii() and sum(map(str.isalpha, new)) > 1:
-                        total += more * (len(w) + 1)
-                        most = max(most, more)
-                        seen += 1
-            if total > gain and (seen > 1 or most >= 3.0) and any(w in change for w in odd):
-                best, gain = change, total
+            first = self._changes(odd, table)
+            if not first:
+                continue
+            change = first | self._changes([w for w in words if w not in first], table)
+            sure = [(w, more) for w, (_, more) in change.items() if sum(map(str.isalpha, change[w][0])) > 1 and not _LIGATURES.sub("", w).isascii()]
+            total = sum(more * (len(w) + 1) for w, more in sure)
+            if total > gain and (len(sure) > 1 or sure[0][1] >= 3.0):
+                best, gain = {w: new for w, (new, _) in change.items()}, total
         if not best or gain < 6.0:
             return None
         return _TOKEN.sub(lambda m: best.get(m.group(0), m.group(0)), text)
 
+    def _changes(self, words: list[str], table: dict[int, str]) -> dict[str, tuple[str, float]]:
+        """word -> (word mapped back, gain) where the mapped word is whole, of one script and clearly likelier."""
+        out = {}
+        for w in words:
+            new = w.translate(table)
+            if new == w or not _plausible("".join(c for c in new if c > "\x7f")) or not self.familiar(new) or not _one_script(new):
+                continue
+            more = self.likely(new) - max(self.likely(w), self.likely(w.lower()) if w.isupper() else self.floor)
+            if more >= 1.0:
+                out[w] = (new, more)
+        return out
+
     def familiar(self, token: str) -> bool:
         """It has a letter beyond ASCII, and every pair of letters that holds one was seen often enough to count."""
         t = f" {token} "
