@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cross_split, lookalikes, mojibake, near_duplicates, newtext, personal
+from . import cross_split, history, leaks, lookalikes, mojibake, near_duplicates, newtext, personal, residue, tokens
 
 
 def queries():
@@ -15,6 +15,13 @@ def queries():
         "p5_new_text": newtext.p5_new_text,
         "p7_found": personal.p7_found,
         "p7_redacted": personal.p7_redacted,
+        "p6_found": history.p6_found,
+        "p6_accepted": history.p6_accepted,
+        "p8_ids": tokens.p8_ids,
+        "p9_found": leaks.p9_found,
+        "p9_near": leaks.p9_near,
+        "p10_found": residue.p10_found,
+        "p10_clean": residue.p10_clean,
         "p2_found": near_duplicates.p2_found,
         "p4_found": cross_split.p4_found,
         "p4_report": cross_split.p4_report,
