@@ -1,0 +1,54 @@
+"""Character shingles and banded min-hashes in Arrow batches."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+BANDS, ROWS = 16, 4
+CUT = 1000  # shingles are those of the first characters; the cut is part of the measure
+SCHEMA = "id bigint, key binary, s array<bigint>, bands array<bigint>"
+_rng = np.random.default_rng(1)
+_MUL = (_rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_SPACE = re.compile(r"\s+")
+
+
+def shingles(text: str | None, memo: dict[str, int]) -> np.ndarray:
+    """Sorted distinct hashes of three characters of the collapsed, lower-cased text."""
+    t = _SPACE.sub(" ", (text or "").lower())[:CUT]
+    out = []
+    for g in {t[i : i + 3] for i in range(len(t) - 2)}:
+        h = memo.get(g)
+        if h is None:
+            if len(memo) > 300_000:
+                memo.clear()
+            h = memo[g] = xxhash.xxh3_64_intdigest(g)
+        out.append(h)
+    return np.sort(np.array(out, dtype=np.uint64))
+
+
+def bands(s: np.ndarray) -> list[int]:
+    """One hash for each band of ROWS minima."""
+    with np.errstate(over="ignore"):
+        low = (s[:, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0).reshape(BANDS, ROWS)
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(low)]
+
+
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> SCHEMA; texts without shingles give no row."""
+    memo: dict[str, int] = {}
+    for b in batches:
+        ids, keys, sets, hashed = [], [], [], []
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            s = shingles(t, memo)
+            if len(s):
+                ids.append(i)
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sets.append(s.view(np.int64))
+                hashed.append(np.array(bands(s), dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(hashed, pa.list_(pa.int64()))], ["id", "key", "s", "bands"])

@@ -1 +1 @@
-"""See the package README for the operator map."""
+"""Registered queries."""
