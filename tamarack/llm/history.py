@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, spread
@@ -24,52 +25,60 @@ from . import pairs as P
 from . import shingles as S
 
 MASK = np.uint64(3)  # a border after every fourth word on average
-RARE_SHARE = 0.6  # the rarest chunks up to this share of a record's bytes name its candidates
-LEAST_COVER = 0.15  # shared bytes / bytes of the smaller record, below which no check is made
+RARE_SHARE = 0.7  # the rarest chunks up to this share of a record's bytes name its candidates
+LEAST_COVER = 0.05  # shared bytes of such chunks / bytes of the smaller record, below which no check is made
 PARTITIONS = 64
+SIZE = 0xFF  # a chunk's low byte is its length in bytes, at most 255; the other 56 bits are its hash
 
 
-def chunks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bytes) of the distinct content-defined chunks of a text."""
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
-    h = S.hash_words(words)
-    size = np.array([len(w.encode()) + 1 for w in words], np.int64)
+def chunk_batch(texts: list[list[str]]) -> list[np.ndarray]:
+    """The distinct content-defined chunks of each text (a list of words), packed as hash and length.
+
+    All texts of a batch are worked at once; a text's first word opens a chunk whatever its hash.
+    """
+    counts = np.array([len(t) for t in texts], np.int64)
+    n = int(counts.sum())
+    if not n:
+        return [np.empty(0, np.uint64) for _ in texts]
+    flat = [w for t in texts for w in t]
+    h = S.hash_words(flat)
+    size = np.fromiter((len(w.encode()) + 1 for w in flat), np.int64, n)
+    first = np.zeros(n, bool)
+    heads = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)[:-1]])
+    first[heads[counts > 0]] = True
     with np.errstate(over="ignore"):
         before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
+        before[first] = 0
         roll = S._mix(h * S._M2 + before * S._M3)
-        cut = np.flatnonzero((roll & MASK) == 0) + 1
-        starts = np.concatenate([np.zeros(1, np.int64), cut[cut < len(h)]])
+        opens = first.copy()
+        opens[1:] |= (roll[:-1] & MASK) == 0
+        starts = np.flatnonzero(opens)
         # a chunk's hash sums its words' hashes weighted by their place in the chunk
-        place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
-        weight = S._mix((place.astype(np.uint64) + np.uint64(1)) * S._M1)
-        sums = S._mix(np.add.reduceat(h * (weight | np.uint64(1)), starts))
-    bytes_ = np.add.reduceat(size, starts)
-    hashes, first = np.unique(sums, return_index=True)
-    return hashes, bytes_[first].astype(np.int32)
-
-
-def featurize(rows: DataFrame, k: int = 3) -> DataFrame:
-    """(id, body_text) -> (id, key, total, chunks) for bodies of at least 20 words."""
+        place = (np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))).astype(np.uint64)
+        sums = S._mix(np.add.reduceat(h * (S._mix((place + np.uint64(1)) * S._M1) | np.uint64(1)), starts))
+    length = np.minimum(np.add.reduceat(size, starts), SIZE).astype(np.uint64)
+    packed = (sums & ~np.uint64(SIZE)) | length
+    row = np.searchsorted(np.cumsum(counts), starts, side="right")
+    order = np.lexsort((packed, row))
+    packed, row = packed[order], row[order]
+    keep = np.ones(len(packed), bool)
+    keep[1:] = (packed[1:] != packed[:-1]) | (row[1:] != row[:-1])
+    packed, row = packed[keep], row[keep]
+    return np.split(packed, np.searchsorted(row, np.arange(1, len(texts))))
+
+
+def featurize(rows: DataFrame) -> DataFrame:
+    """(id, body_text) -> (id, key, total, chunks) for bodies of at least 20 words; key: the word sequence's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, totals, hs, ns = [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = S.words(t)
-                if len(ws) < 20:
-                    continue
-                ids.append(i)
-                keys.append(S.set_key(S.shingle_set(ws, k)))
-                h, n = chunks(ws)
-                totals.append(int(n.sum()))
-                hs.append(h)
-                ns.append(n)
-            sizes = pa.array(np.concatenate(ns) if ns else np.empty(0, np.int32), pa.int32())
-            lists = P._list_column(hs)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(totals, pa.int32()), lists, pa.ListArray.from_arrays(lists.offsets, sizes)], ["id", "key", "total", "hashes", "sizes"])
-
-    return rows.mapInArrow(run, "id bigint, key binary, total int, hashes array<bigint>, sizes array<int>")
+            kept = [(i, ws) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(ws := S.words(t)) >= 20]
+            lists = chunk_batch([ws for _, ws in kept])
+            keys = [xxhash.xxh3_128_digest(" ".join(ws)) for _, ws in kept]
+            totals = [int((c & np.uint64(SIZE)).sum()) for c in lists]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array(keys, pa.binary()), pa.array(totals, pa.int32()), P._list_column(lists)], ["id", "key", "total", "chunks"])
+
+    return rows.mapInArrow(run, "id bigint, key binary, total int, chunks array<bigint>")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -87,55 +96,43 @@ def _exact(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
 
 
 def _chunk_rows(records: DataFrame) -> DataFrame:
-    return records.select("id", "total", F.explode(F.arrays_zip("hashes", "sizes")).alias("c")).select("id", "total", F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("size"))
+    return records.select("id", F.explode("chunks").alias("hash"))
+
 
+def _bytes(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit(SIZE)).cast("int")
 
-def rare_chunks(met: DataFrame) -> DataFrame:
-    """(id, hash): each record's rarest chunks up to RARE_SHARE of its bytes. met: (id, total, hash, size, df),
-    the chunks that another record has too; a record's other bytes come first in the order of rarity."""
-    listed = met.groupBy("id").agg(F.first("total").alias("total"), F.sum("size").alias("common"), F.array_sort(F.collect_list(F.struct("df", "hash", "size"))).alias("c"))
+
+def rare_chunks(met: DataFrame, totals: DataFrame) -> DataFrame:
+    """(id, hash, total): each record's rarest chunks up to RARE_SHARE of its bytes. met: (id, hash, df), the chunks
+    that another record has too; a record's other bytes come first in the order of rarity. totals: (id, total)."""
+    listed = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("c")).join(totals, "id")
     budget = F.col("total") * F.lit(RARE_SHARE)
+    size = lambda x: x["hash"].bitwiseAND(F.lit(SIZE))
+    common = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + size(x))
     walked = F.aggregate(
         "c",
-        F.struct((F.col("total") - F.col("common")).cast("double").alias("sum"), F.array().cast("array<bigint>").alias("keys")),
-        lambda acc, x: F.struct((acc["sum"] + x["size"]).alias("sum"), F.when((acc["sum"] < budget) | (F.size(acc["keys"]) < 3), F.concat(acc["keys"], F.array(x["hash"]))).otherwise(acc["keys"]).alias("keys")),
+        F.struct((F.col("total") - common).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("keys")),
+        lambda acc, x: F.struct((acc["sum"] + size(x)).alias("sum"), F.when((acc["sum"] < budget) | (F.size(acc["keys"]) < 3), F.concat(acc["keys"], F.array(x["hash"]))).otherwise(acc["keys"]).alias("keys")),
         lambda acc: acc["keys"],
     )
-    return listed.select("id", F.explode(walked).alias("hash"))
+    return listed.select("id", F.explode(walked).alias("hash"), "total")
 
 
 def like_pairs(records: DataFrame, texts: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
-    """Pairs (a, b), a < b, of like records. records: materialised (id, total, hashes, sizes), one per distinct text.
+    """Pairs (a, b), a < b, of like records. records: materialised (id, total, chunks), one per distinct text.
 
-    A record is looked up by its rarest chunks until they hold RARE_SHARE of its bytes. Chunks met once
-    count towards that share but are dropped before any join; how often a chunk is met is a combined count.
+    A record is looked up by its rarest chunks until they hold RARE_SHARE of its bytes. Chunks met once count
+    towards that share but are dropped before any join; how often a chunk is met is a combined count. The chunk
+    table's self-join sums the bytes two records share; their coverage decides which pairs are checked.
     """
     table = _chunk_rows(records)
     met = table.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    keys = materialize(rare_chunks(table.join(met, "hash")), "rare-chunks")
+    keys = materialize(rare_chunks(table.join(met, "hash"), records.select("id", "total")), "rare-chunks")
     live = keys.join(keys.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "hash")
-    cand = live.select("hash", F.col("id").alias("a")).join(live.select("hash", F.col("id").alias("b")), "hash").where("a < b").select("a", "b").distinct()
-    cand = materialize(cand, "chunk-candidates")
-    return _exact(materialize(covered(cand, records), "covered"), texts, k, threshold)
-
-
-def covered(cand: DataFrame, records: DataFrame) -> DataFrame:
-    """Candidates whose shared chunk bytes cover LEAST_COVER of the smaller record."""
-    ids = materialize(cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct(), "chunk-ids")
-    some = materialize(P.only_ids(records.select("id", "total", "hashes", "sizes"), "id", ids), "chunk-lists")
-    side = lambda n: some.select(F.col("id").alias(n), F.col("total").alias(f"t{n}"), F.col("hashes").alias(f"h{n}"), F.col("sizes").alias(f"s{n}"))
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            ha, sa, hb = (b.column(k) for k in (3, 4, 6))
-            for r, (ta, tb) in enumerate(zip(b.column(2).to_pylist(), b.column(5).to_pylist())):
-                x, n, y = (np.asarray(c[r].values) for c in (ha, sa, hb))
-                keep.append(int(n[np.isin(x, y, assume_unique=True)].sum()) >= LEAST_COVER * min(ta, tb))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "ha", "sa", "tb", "hb")
-    return joined.mapInArrow(cover, "a bigint, b bigint")
+    side = lambda n: live.select("hash", F.col("id").alias(n), F.col("total").alias(f"t{n}"))
+    shared = side("a").join(side("b"), "hash").where("a < b").groupBy("a", "b").agg(F.sum(_bytes("hash")).alias("common"), F.min(F.least("ta", "tb")).alias("least"))
+    return _exact(materialize(shared.where(F.col("common") >= LEAST_COVER * F.col("least")).select("a", "b"), "covered"), texts, k, threshold)
 
 
 def decide(rows: DataFrame, watches: DataFrame) -> DataFrame:
@@ -184,9 +181,10 @@ def replay(log: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
     """
     log = log.where("id is not null")
     texts = spread(log.select("id", F.col("body_text").alias("text")).where("length(body_text) >= 39"))
-    feats = materialize(featurize(texts, k), "chunked")
-    classes = materialize(feats.groupBy("key").agg(F.min("id").alias("id"), F.first("total").alias("total"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes")), "chunk-classes")
-    like = materialize(like_pairs(classes.drop("key"), texts, k, threshold), "like-classes")
+    feats = materialize(featurize(texts), "chunked")
+    classes = materialize(feats.groupBy("key").agg(F.min("id").alias("id")), "chunk-classes")
+    copies = materialize(feats.select("key", "id").join(classes.select("key", F.col("id").alias("rep")), "key").where("id != rep").select("id"), "chunk-copies")
+    like = materialize(like_pairs(feats.join(copies, "id", "left_anti"), texts, k, threshold), "like-classes")
     rank = F.struct(F.col("batch_no").cast("bigint").alias("batch"), F.col("id").alias("id"))
     ranks = log.select("id", rank.alias("rank"), "email_id")
     of_class = feats.select("id", "key").join(classes.select("key", F.col("id").alias("rep")), "key").select("id", F.concat(F.lit("t"), F.col("rep").cast("string")).alias("key"))
@@ -220,11 +218,11 @@ class History:
         old_chunks = self._read("chunks", "hash bigint, id bigint, part int")
         old_rows = self._read("records", "id bigint, email_id string, text string, bucket int")
         batch = materialize(batch.where("id is not null").select("id", "email_id", "body_text", "batch_no"), "batch")
-        feats = materialize(featurize(batch.select("id", "body_text"), k), "batch-chunks")
+        feats = materialize(featurize(batch.select("id", "body_text")), "batch-chunks")
         mine = materialize(_chunk_rows(feats).select("hash").distinct().withColumn("part", part), "batch-hashes")
         old_hits = old_chunks.join(mine, ["part", "hash"], "left_semi")
         met = old_hits.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-        keys = materialize(rare_chunks(_chunk_rows(feats).join(met, "hash")).select("hash").distinct().withColumn("part", part), "batch-rare")
+        keys = materialize(rare_chunks(_chunk_rows(feats).join(met, "hash"), feats.select("id", "total")).select("hash").distinct().withColumn("part", part), "batch-rare")
         touched = materialize(old_chunks.join(keys, ["part", "hash"], "left_semi").select("id").distinct().withColumn("bucket", F.pmod("id", F.lit(PARTITIONS)).cast("int")), "touched")
         same = old_rows.where("email_id is not null").join(batch.select("email_id").distinct(), "email_id", "left_semi")
         near = old_rows.join(touched, ["bucket", "id"], "left_semi")
