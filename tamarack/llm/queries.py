@@ -28,5 +28,25 @@ def queries():
     }
 
 
+_SHINGLED = r"""
+w as (select id, side, split, source, regexp_extract_all(lower(t), '[\pL\pN]+') as w from t),
+sh as (select id, side, hash(w[i], w[i + 1], w[i + 2]) as s from (select id, side, w, unnest(range(1, len(w) - 1)) as i from w) group by all),
+n as (select id, count(*) as n from sh group by 1),
+c as (select a.id as a, b.id as b, count(*) as k from sh a join sh b on a.s = b.s and a.side = 'train' and b.side = 'eval' group by 1, 2),
+p as (select least(a, b) as rec_id_a, greatest(a, b) as rec_id_b, b as e, a as tr from c join n x on x.id = a join n y on y.id = b where 10 * k >= 6 * (x.n + y.n - k))"""
+_SPLIT_TEXT = r"""t as (select rec_id as id, case when split = 'train' then 'train' else 'eval' end as side, split, source, coalesce(subject, '') || ' ' || body_text as t from emails
+ where split in ('train', 'val', 'test') and len(regexp_extract_all(lower(body_text), '[\pL\pN]+')) >= 20)"""
+
+
 def oracle_sql():
-    return {}
+    """SQL of the queries that SQL states plainly; word shingles are compared as 64-bit hashes."""
+    return {
+        "p4_found": f"with {_SPLIT_TEXT}, {_SHINGLED} select rec_id_a, rec_id_b from p",
+        "p4_report": f"with {_SPLIT_TEXT}, {_SHINGLED} select t.split, t.source, count(*) as pairs, count(distinct e) as evaluation_rows, count(distinct tr) as train_rows from p join t on t.id = e group by 1, 2",
+        "p9_found": r"""
+with i as (select item_id, regexp_extract_all(lower(passage), '[\pL\pN]+') as w from eval_items where passage is not null),
+ g as (select item_id, least(12, len(w)) as n, array_to_string(list_slice(w, k, k + least(12, len(w)) - 1), ' ') as g from (select item_id, w, unnest(range(1, len(w) - least(12, len(w)) + 2)) as k from i where len(w) > 0)),
+ d as (select doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') as w from documents where text is not null), s as (select distinct n from g),
+ x as (select doc_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, s where len(w) >= n))
+select distinct doc_id, item_id from x join g using (n, g)""",
+    }
