@@ -50,7 +50,7 @@ def root_domain(address: Column) -> Column:
     d = F.lower(F.when(found != "", found).otherwise(rest))
     parts = F.split(d, r"\.")
     n = F.size(parts)
-    three = (n >= 3) & F.element_at(parts, -2).isin(L.SECOND_LEVEL)
+    three = (n >= 3) & F.try_element_at(parts, F.lit(-2)).isin(L.SECOND_LEVEL)
     return (F.when(~a.contains("@"), "unknown_domain").when(three, F.array_join(F.slice(parts, -3, 3), "."))
             .when(n >= 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(d))
 

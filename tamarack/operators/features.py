@@ -16,7 +16,7 @@ def sender_features() -> dict[str, Column]:
     d = T.domain(F.col("sender_address"))
     words = T.tokens(F.regexp_replace(F.lower(T.text("sender_display_name")), "@", " "))
     first = F.filter(words, lambda w: w.contains(".") & (F.length(w) > 4))
-    shown = F.btrim(F.when(F.size(first) > 0, first[0]).otherwise(""), F.lit(".,<>"))
+    shown = F.btrim(F.when(F.size(first) > 0, F.get(first, F.lit(0))).otherwise(""), F.lit(".,<>"))
     reply = T.text("reply_to")
     rd = T.domain(F.col("reply_to"))
     return {

@@ -154,7 +154,7 @@ def read_mail(spark: SparkSession, path: str, source: str = "", label: str = "",
 def read_index(spark: SparkSession, index: str, folder: str, source: str = "trec") -> DataFrame:
     """Messages that an index of `spam|ham path` lines calls spam; lines of another form are skipped, ham is left out."""
     parts = F.split(F.trim(F.col("value")), r"\s+")
-    listed = spark.read.text(index).select(parts.alias("p")).where((F.size("p") == 2) & (F.lower(F.col("p")[0]) == "spam")).select(F.substring_index(F.col("p")[1], "/", -1).alias("name")).distinct()
+    listed = spark.read.text(index).select(parts.alias("p")).where((F.size("p") == 2) & (F.lower(F.get("p", F.lit(0))) == "spam")).select(F.substring_index(F.get("p", F.lit(1)), "/", -1).alias("name")).distinct()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).withColumn("name", F.substring_index("path", "/", -1)).join(listed, "name", "left_semi")
     return complete(parse_files(files).withColumns({"source": F.lit(source), "label": F.lit("spam"), "era_bucket": F.lit("legacy")}))
 
@@ -163,9 +163,9 @@ def unwrap_forward(df: DataFrame) -> DataFrame:
     """Subject, sender and body of the forwarded message where a mail is a forward; other rows stay."""
     mark = r"(?m)^-{3,} *(?:Forwarded message|Original Message) *-{3,}\s*$"
     parts = F.split(F.col("body_text"), mark, 2)
-    inner = parts[1]
+    inner = F.get(parts, F.lit(1))
     subject, sender = F.trim(F.regexp_extract(inner, r"(?im)^Subject: *(.*)$", 1)), F.trim(F.regexp_extract(inner, r"(?im)^From: *(.*)$", 1))
-    body = F.element_at(F.split(F.ltrim(inner, F.lit("\r\n ")), r"\r?\n\s*\r?\n", 2), -1)
+    body = F.try_element_at(F.split(F.ltrim(inner, F.lit("\r\n ")), r"\r?\n\s*\r?\n", 2), F.lit(-1))
     forward = F.size(parts) > 1
     bare = F.regexp_replace(F.col("subject"), r"(?i)^(?:fwd?|forward):\s*", "")
     address = F.when(sender.rlike("<[^>]+>"), F.regexp_extract(sender, "<([^>]+)>", 1)).otherwise(sender)
