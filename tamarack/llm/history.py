@@ -27,6 +27,7 @@ from . import shingles as S
 MASK = np.uint64(3)  # a border after every fourth word on average
 RARE_SHARE = 0.7  # the rarest chunks up to this share of a record's bytes name its candidates
 LEAST_COVER = 0.05  # shared bytes of such chunks / bytes of the smaller record, below which no check is made
+LEAST_RATIO = 0.4  # of the bytes of two records; like ones have at least 0.6 of each other's shingles
 PARTITIONS = 64
 SIZE = 0xFF  # a chunk's low byte is its length in bytes, at most 255; the other 56 bits are its hash
 
@@ -131,7 +132,7 @@ def like_pairs(records: DataFrame, texts: DataFrame, k: int = 3, threshold: floa
     keys = materialize(rare_chunks(table.join(met, "hash"), records.select("id", "total")), "rare-chunks")
     live = keys.join(keys.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "hash")
     side = lambda n: live.select("hash", F.col("id").alias(n), F.col("total").alias(f"t{n}"))
-    shared = side("a").join(side("b"), "hash").where("a < b").groupBy("a", "b").agg(F.sum(_bytes("hash")).alias("common"), F.min(F.least("ta", "tb")).alias("least"))
+    shared = side("a").join(side("b"), "hash").where(F.expr(f"a < b and least(ta, tb) >= {LEAST_RATIO} * greatest(ta, tb)")).groupBy("a", "b").agg(F.sum(_bytes("hash")).alias("common"), F.min(F.least("ta", "tb")).alias("least"))
     return _exact(materialize(shared.where(F.col("common") >= LEAST_COVER * F.col("least")).select("a", "b"), "covered"), texts, k, threshold)
 
 
@@ -187,10 +188,15 @@ def replay(log: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
     like = materialize(like_pairs(feats.join(copies, "id", "left_anti"), texts, k, threshold), "like-classes")
     rank = F.struct(F.col("batch_no").cast("bigint").alias("batch"), F.col("id").alias("id"))
     ranks = log.select("id", rank.alias("rank"), "email_id")
-    of_class = feats.select("id", "key").join(classes.select("key", F.col("id").alias("rep")), "key").select("id", F.concat(F.lit("t"), F.col("rep").cast("string")).alias("key"))
-    by_mail = ranks.where("email_id is not null").select("id", "rank", F.concat(F.lit("m"), F.sha2("email_id", 256)).alias("key"))
+    key = lambda kind, h, g: F.struct(F.lit(kind).alias("kind"), h.alias("h"), g.alias("g"))
+    t = lambda c: key("t", F.col(c), F.lit(0))
+    # only what could meet another row: mail ids met twice, texts met twice or like another
+    mails = ranks.where("email_id is not null").select("id", "rank", key("m", F.xxhash64("email_id"), F.hash("email_id")).alias("key"))
+    twice = mails.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    by_mail = mails.join(twice, "key").select("id", "rank", "key")
+    met = like.select(F.col("a").alias("rep")).union(like.select("b")).union(feats.join(copies, "id", "left_semi").join(classes.select("key", F.col("id").alias("rep")), "key").select("rep")).distinct()
+    of_class = feats.select("id", "key").join(classes.select("key", F.col("id").alias("rep")).join(met, "rep"), "key").select("id", t("rep").alias("key"))
     rows = materialize(by_mail.union(ranks.select("id", "rank").join(of_class, "id").select("id", "rank", "key")), "owned-keys")
-    t = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
     near = like.select(t("a").alias("key"), t("b").alias("seen")).union(like.select(t("b"), t("a")))
     watches = rows.select("key").distinct().select("key", F.col("key").alias("seen")).union(near)
     return decide(rows, watches).select("first_id", "id")
