@@ -264,9 +264,9 @@ _NUMERIC = ["spam_prob", "phishing_prob", "trust_score"]
 
 
 @register("numeric_stats", " union all ".join(
-    f"select '{c}' as column_name, count({c}) as n, round(avg({c}), 6)::double as mean, round(stddev_samp({c}), 6)::double as sd, round(min({c}), 6)::double as least, " + ", ".join(f"round(quantile_cont({c}, {p}), 6)::double as p{int(p * 100)}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + f", round(max({c}), 6)::double as most from triage_log" for c in _NUMERIC))
+    f"select '{c}' as column_name, count({c}) as n, round(avg({c}), 4)::double as mean, round(stddev_samp({c}), 4)::double as sd, round(min({c}), 4)::double as least, " + ", ".join(f"round(quantile_cont({c}, {p}), 4)::double as p{int(p * 100)}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + f", round(max({c}), 4)::double as most from triage_log" for c in _NUMERIC))
 def _(read):
-    return audit.describe(read("triage_log"), _NUMERIC)
+    return rounded(audit.describe(read("triage_log"), _NUMERIC), 4)  # interpolated points of six-place values fall between places
 
 
 _CATEGORICAL = ["label", "source", "era_bucket", "subtype", "split"]
