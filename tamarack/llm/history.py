@@ -26,7 +26,8 @@ from . import shingles as S
 
 MASK = np.uint64(3)  # a border after every fourth word on average
 RARE_SHARE = 0.7  # the rarest chunks up to this share of a record's bytes name its candidates
-LEAST_COVER = 0.05  # shared bytes of such chunks / bytes of the smaller record, below which no check is made
+LEAST_COVER = 0.05  # shared bytes of such chunks / bytes of the smaller record that make a candidate
+FULL_COVER = 0.2  # shared bytes of all chunks / bytes of the smaller record, below which no check is made
 LEAST_RATIO = 0.4  # of the bytes of two records; like ones have at least 0.6 of each other's shingles
 PARTITIONS = 64
 SIZE = 0xFF  # a chunk's low byte is its length in bytes, at most 255; the other 56 bits are its hash
@@ -133,7 +134,18 @@ def like_pairs(records: DataFrame, texts: DataFrame, k: int = 3, threshold: floa
     live = keys.join(keys.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "hash")
     side = lambda n: live.select("hash", F.col("id").alias(n), F.col("total").alias(f"t{n}"))
     shared = side("a").join(side("b"), "hash").where(F.expr(f"a < b and least(ta, tb) >= {LEAST_RATIO} * greatest(ta, tb)")).groupBy("a", "b").agg(F.sum(_bytes("hash")).alias("common"), F.min(F.least("ta", "tb")).alias("least"))
-    return _exact(materialize(shared.where(F.col("common") >= LEAST_COVER * F.col("least")).select("a", "b"), "covered"), texts, k, threshold)
+    cand = materialize(shared.where(F.col("common") >= LEAST_COVER * F.col("least")).select("a", "b"), "chunk-candidates")
+    return _exact(materialize(covered(cand, records), "covered"), texts, k, threshold)
+
+
+def covered(cand: DataFrame, records: DataFrame) -> DataFrame:
+    """Candidates whose shared chunks, rare or not, cover FULL_COVER of the smaller record: a list of chunks is a
+    fraction of a set of shingles, so few sets have to move for the exact check."""
+    ids = materialize(cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct(), "chunk-ids")
+    some = materialize(P.only_ids(records.select("id", "total", "chunks"), "id", ids), "chunk-lists")
+    side = lambda n: some.select(F.col("id").alias(n), F.col("total").alias(f"t{n}"), F.col("chunks").alias(f"c{n}"))
+    common = F.aggregate(F.array_intersect("ca", "cb"), F.lit(0).cast("bigint"), lambda acc, x: acc + x.bitwiseAND(F.lit(SIZE)))
+    return cand.join(side("a"), "a").join(side("b"), "b").where(common >= FULL_COVER * F.least("ta", "tb")).select("a", "b")
 
 
 def decide(rows: DataFrame, watches: DataFrame) -> DataFrame:
