@@ -1,151 +1,132 @@
 """Problem 6: each new batch against all that earlier batches left accepted.
 
-Content-defined chunking: a rolling hash over the last two words ends a chunk where its low bits are
-zero, so chunk borders move with the text and an edit changes only the chunks around it. A chunk table
-maps chunk hashes to records. Candidates share a chunk among the rarest that make up most of a record's
-bytes; shared bytes decide by coverage, and what covers enough is checked exactly.
-
-Two ways in, same decisions: `replay` takes a whole log whose batches are already there and works every
-row's chunks once; `History` keeps the chunk table on disk, partitioned by chunk hash, and takes batch
-after batch, reading only the hash partitions and records that the batch touches.
+Candidates come from a prefix filter on word shingles, which loses no pair at the threshold: of two sets that
+overlap by t the shorter one shares at least 2t/(1+t) of its shingles and the longer one t, so in any common
+order of all shingles their first few hold any wanted number of common ones. Frequent shingles come last in that order, as far
+as a sample of the rows shows them; the sample bears on cost, never on the result. Candidates are checked exactly.
+
+Two ways in, same decisions: `replay` takes a whole log whose batches are already there; `History` keeps a
+shingle table on disk, partitioned by hash, and takes batch after batch, reading only the hash partitions and
+records that the batch touches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, spread
 from . import pairs as P
 from . import shingles as S
 
-MASK = np.uint64(3)  # a border after every fourth word on average
-RARE_SHARE = 0.7  # the rarest chunks up to this share of a record's bytes name its candidates
-LEAST_COVER = 0.05  # shared bytes of such chunks / bytes of the smaller record that make a candidate
-FULL_COVER = 0.2  # shared bytes of all chunks / bytes of the smaller record, below which no check is made
-LEAST_RATIO = 0.4  # of the bytes of two records; like ones have at least 0.6 of each other's shingles
+MEET = 4  # shingles that a pair must share among the first of both; each costs one more key a row
+SAMPLE = 8  # one row in so many shows which shingles are frequent
+HOT_SEEN = 2  # rows of the sample that make a shingle frequent
+HOT_MOST = 500_000  # frequent shingles sent to every task (8 MB), the most frequent first
 PARTITIONS = 64
-SIZE = 0xFF  # a chunk's low byte is its length in bytes, at most 255; the other 56 bits are its hash
-
-
-def chunk_batch(texts: list[list[str]]) -> list[np.ndarray]:
-    """The distinct content-defined chunks of each text (a list of words), packed as hash and length.
-
-    All texts of a batch are worked at once; a text's first word opens a chunk whatever its hash.
-    """
-    counts = np.array([len(t) for t in texts], np.int64)
-    n = int(counts.sum())
-    if not n:
-        return [np.empty(0, np.uint64) for _ in texts]
-    flat = [w for t in texts for w in t]
-    h = S.hash_words(flat)
-    size = np.fromiter((len(w.encode()) + 1 for w in flat), np.int64, n)
-    first = np.zeros(n, bool)
-    heads = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)[:-1]])
-    first[heads[counts > 0]] = True
-    with np.errstate(over="ignore"):
-        before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
-        before[first] = 0
-        roll = S._mix(h * S._M2 + before * S._M3)
-        opens = first.copy()
-        opens[1:] |= (roll[:-1] & MASK) == 0
-        starts = np.flatnonzero(opens)
-        # a chunk's hash sums its words' hashes weighted by their place in the chunk
-        place = (np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))).astype(np.uint64)
-        sums = S._mix(np.add.reduceat(h * (S._mix((place + np.uint64(1)) * S._M1) | np.uint64(1)), starts))
-    length = np.minimum(np.add.reduceat(size, starts), SIZE).astype(np.uint64)
-    packed = (sums & ~np.uint64(SIZE)) | length
-    row = np.searchsorted(np.cumsum(counts), starts, side="right")
-    order = np.lexsort((packed, row))
-    packed, row = packed[order], row[order]
-    keep = np.ones(len(packed), bool)
-    keep[1:] = (packed[1:] != packed[:-1]) | (row[1:] != row[:-1])
-    packed, row = packed[keep], row[keep]
-    return np.split(packed, np.searchsorted(row, np.arange(1, len(texts))))
 
 
 def featurize(rows: DataFrame) -> DataFrame:
-    """(id, body_text) -> (id, key, total, chunks) for bodies of at least 20 words; key: the word sequence's hash."""
+    """(id, body_text) -> (id, key) for bodies of at least 20 words; key: the word sequence's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [(i, ws) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(ws := S.words(t)) >= 20]
-            lists = chunk_batch([ws for _, ws in kept])
             keys = [xxhash.xxh3_128_digest(" ".join(ws)) for _, ws in kept]
-            totals = [int((c & np.uint64(SIZE)).sum()) for c in lists]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array(keys, pa.binary()), pa.array(totals, pa.int32()), P._list_column(lists)], ["id", "key", "total", "chunks"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
 
-    return rows.mapInArrow(run, "id bigint, key binary, total int, chunks array<bigint>")
+    return rows.mapInArrow(run, "id bigint, key binary")
 
 
-def _exact(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b) -> those whose shingle overlap reaches the threshold."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "cover-ids")
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """(id, text) -> (id, s): the shingle sets of texts of at least 20 words."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), P._list_column([S.shingle_set(S.words(t), k) for t in b.column(1).to_pylist()])], ["id", "s"])
+            kept = [(i, S.shingle_set(ws, k)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(ws := S.words(t)) >= 20]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), P._list_column([s for _, s in kept])], ["id", "s"])
+
+    return rows.mapInArrow(run, "id bigint, s array<bigint>")
+
+
+def _least(share: float, n: int) -> int:
+    """The fewest of n shingles that make up the share."""
+    return math.ceil(share * n - 1e-9)
 
-    full = materialize(P.only_ids(texts, "id", ids).mapInArrow(sets, "id bigint, s array<bigint>"), "cover-sets")
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 10_000 >= (F.size("sa") + F.size("sb") - shared) * round(threshold * 10_000)).select("a", "b")
 
+def hot_shingles(texts: DataFrame, k: int) -> list[np.ndarray]:
+    """Hashes, ascending, and counts of the shingles that many rows of a sample hold."""
+    some = _sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), k)
+    counts = some.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_SEEN)
+    found = counts.orderBy(F.desc("n"), "h").limit(HOT_MOST).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return [h[order], n[order]]
 
-def _chunk_rows(records: DataFrame) -> DataFrame:
-    return records.select("id", F.explode("chunks").alias("hash"))
 
+def prefix_keys(texts: DataFrame, hot: list[np.ndarray], k: int, threshold: float) -> DataFrame:
+    """(id, text) -> (id, n, at, h): the first shingles h of each text of at least 20 words, at their places in the
+    common order; n: how many it has. The order is by how often a shingle stands in the sample, then by hash."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
-def _bytes(c: str) -> Column:
-    return F.col(c).bitwiseAND(F.lit(SIZE)).cast("int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for b in batches:
+            ids, sizes, lengths, firsts = [], [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(ws := S.words(t)) < 20:
+                    continue
+                s = S.shingle_set(ws, k)
+                if not len(s):
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, counts[at], 0)
+                    if rank.any():
+                        s = s[np.lexsort((s, rank))]
+                first = s[: len(s) - _least(threshold, len(s)) + MEET]
+                ids.append(i)
+                sizes.append(len(s))
+                lengths.append(len(first))
+                firsts.append(first)
+            h = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
+            at = np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]) if lengths else np.empty(0, np.int32)
+            cols = [np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), at, h.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "n", "at", "h"])
+
+    return texts.mapInArrow(run, "id bigint, n int, at int, h bigint")
 
 
-def rare_chunks(met: DataFrame, totals: DataFrame) -> DataFrame:
-    """(id, hash, total): each record's rarest chunks up to RARE_SHARE of its bytes. met: (id, hash, df), the chunks
-    that another record has too; a record's other bytes come first in the order of rarity. totals: (id, total)."""
-    listed = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("c")).join(totals, "id")
-    budget = F.col("total") * F.lit(RARE_SHARE)
-    size = lambda x: x["hash"].bitwiseAND(F.lit(SIZE))
-    common = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + size(x))
-    walked = F.aggregate(
-        "c",
-        F.struct((F.col("total") - common).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("keys")),
-        lambda acc, x: F.struct((acc["sum"] + size(x)).alias("sum"), F.when((acc["sum"] < budget) | (F.size(acc["keys"]) < 3), F.concat(acc["keys"], F.array(x["hash"]))).otherwise(acc["keys"]).alias("keys")),
-        lambda acc: acc["keys"],
-    )
-    return listed.select("id", F.explode(walked).alias("hash"), "total")
+def _exact(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b) -> those whose shingle overlap reaches the threshold."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "cover-ids")
+
+    full = materialize(_sets(P.only_ids(texts, "id", ids), k), "cover-sets")
+    both = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared * 10_000 >= (F.size("sa") + F.size("sb") - shared) * round(threshold * 10_000)).select("a", "b")
 
 
-def like_pairs(records: DataFrame, texts: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
-    """Pairs (a, b), a < b, of like records. records: materialised (id, total, chunks), one per distinct text.
+def like_pairs(texts: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
+    """Pairs (a, b), a < b, of like texts. texts: (id, text), one per distinct text.
 
-    A record is looked up by its rarest chunks until they hold RARE_SHARE of its bytes. Chunks met once count
-    towards that share but are dropped before any join; how often a chunk is met is a combined count. The chunk
-    table's self-join sums the bytes two records share; their coverage decides which pairs are checked.
+    Sizes n and m that overlap by the threshold t share c >= t / (1 + t) * (n + m) shingles. The MEET first of the
+    shared ones (all, if c is less) have at least c - MEET shared ones after them in both texts, which bounds their
+    places; only meetings at such places count, and a pair with fewer of them is none.
     """
-    table = _chunk_rows(records)
-    met = table.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    keys = materialize(rare_chunks(table.join(met, "hash"), records.select("id", "total")), "rare-chunks")
-    live = keys.join(keys.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "hash")
-    side = lambda n: live.select("hash", F.col("id").alias(n), F.col("total").alias(f"t{n}"))
-    shared = side("a").join(side("b"), "hash").where(F.expr(f"a < b and least(ta, tb) >= {LEAST_RATIO} * greatest(ta, tb)")).groupBy("a", "b").agg(F.sum(_bytes("hash")).alias("common"), F.min(F.least("ta", "tb")).alias("least"))
-    cand = materialize(shared.where(F.col("common") >= LEAST_COVER * F.col("least")).select("a", "b"), "chunk-candidates")
-    return _exact(materialize(covered(cand, records), "covered"), texts, k, threshold)
-
-
-def covered(cand: DataFrame, records: DataFrame) -> DataFrame:
-    """Candidates whose shared chunks, rare or not, cover FULL_COVER of the smaller record: a list of chunks is a
-    fraction of a set of shingles, so few sets have to move for the exact check."""
-    ids = materialize(cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct(), "chunk-ids")
-    some = materialize(P.only_ids(records.select("id", "total", "chunks"), "id", ids), "chunk-lists")
-    side = lambda n: some.select(F.col("id").alias(n), F.col("total").alias(f"t{n}"), F.col("chunks").alias(f"c{n}"))
-    common = F.aggregate(F.array_intersect("ca", "cb"), F.lit(0).cast("bigint"), lambda acc, x: acc + x.bitwiseAND(F.lit(SIZE)))
-    return cand.join(side("a"), "a").join(side("b"), "b").where(common >= FULL_COVER * F.least("ta", "tb")).select("a", "b")
+    keys = prefix_keys(texts, hot_shingles(texts, k), k, threshold)
+    side = lambda x: keys.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-6))
+    after = need - F.least(need, F.lit(MEET))
+    met = side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("ata") + after < F.col("na")) & (F.col("atb") + after < F.col("nb")))
+    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min(need).alias("need")).where(F.col("met") >= F.least(F.col("need"), F.lit(MEET)))
+    return _exact(materialize(often.select("a", "b"), "prefix-candidates"), texts, k, threshold)
 
 
 def decide(rows: DataFrame, watches: DataFrame) -> DataFrame:
@@ -190,14 +171,14 @@ def replay(log: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
     """(first_id, id) of each repeat in a log, batch by batch, then id.
 
     A null email_id equals no other; null and short bodies are compared by email_id only; a null batch
-    comes first. Every row's body is chunked once, whatever the number of batches.
+    comes first. Every row's body is worked a fixed number of times, whatever the number of batches.
     """
     log = log.where("id is not null")
     texts = spread(log.select("id", F.col("body_text").alias("text")).where("length(body_text) >= 39"))
-    feats = materialize(featurize(texts), "chunked")
-    classes = materialize(feats.groupBy("key").agg(F.min("id").alias("id")), "chunk-classes")
-    copies = materialize(feats.select("key", "id").join(classes.select("key", F.col("id").alias("rep")), "key").where("id != rep").select("id"), "chunk-copies")
-    like = materialize(like_pairs(feats.join(copies, "id", "left_anti"), texts, k, threshold), "like-classes")
+    feats = materialize(featurize(texts), "keyed")
+    classes = materialize(feats.groupBy("key").agg(F.min("id").alias("id")), "text-classes")
+    copies = materialize(feats.select("key", "id").join(classes.select("key", F.col("id").alias("rep")), "key").where("id != rep").select("id"), "text-copies")
+    like = materialize(like_pairs(P.only_ids(texts, "id", copies, "left_anti"), k, threshold), "like-classes")
     rank = F.struct(F.col("batch_no").cast("bigint").alias("batch"), F.col("id").alias("id"))
     ranks = log.select("id", rank.alias("rank"), "email_id")
     key = lambda kind, h, g: F.struct(F.lit(kind).alias("kind"), h.alias("h"), g.alias("g"))
@@ -214,34 +195,50 @@ def replay(log: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
     return decide(rows, watches).select("first_id", "id")
 
 
+def rarest(met: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(hash): the shingles by which each row must be looked up. met: (id, hash, df), those that are in the table;
+    a row's others come first in the order of rarity. sizes: (id, n)."""
+    listed = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("c")).join(sizes, "id")
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
+    take = F.greatest(first - (F.col("n") - F.size("c")), F.lit(0)).cast("int")
+    return listed.select(F.explode(F.slice("c", F.lit(1), take)).alias("x")).select(F.col("x.hash").alias("hash"))
+
+
 class History:
-    """What earlier batches left accepted: a chunk table and a record table under one folder.
+    """What earlier batches left accepted: a shingle table and a record table under one folder.
 
     Both are partitioned by hash, so a batch reads only the partitions its own hashes fall into and, in
-    those, only matching chunks; accepted rows are appended, nothing is rewritten.
+    those, only matching shingles; accepted rows are appended, nothing is rewritten. All shingles of an accepted
+    row are kept, so a new row finds what is like it by its own rarest ones. One folder holds one k.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _exists(self, name: str) -> bool:
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
+        return fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs)
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        if self._exists(name):
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         return self.spark.createDataFrame([], schema)
 
     def take(self, batch: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
         """(first_id, id) of the batch's repeats; its other rows are accepted into the history."""
         part = F.pmod(F.col("hash"), F.lit(PARTITIONS)).cast("int")
-        old_chunks = self._read("chunks", "hash bigint, id bigint, part int")
+        table = f"shingles-{k}"
+        if self._exists("records") and not self._exists(table):
+            raise ValueError(f"{self.path} has no table of {k}-word shingles")
+        old_shingles = self._read(table, "hash bigint, id bigint, part int")
         old_rows = self._read("records", "id bigint, email_id string, text string, bucket int")
         batch = materialize(batch.where("id is not null").select("id", "email_id", "body_text", "batch_no"), "batch")
-        feats = materialize(featurize(batch.select("id", "body_text")), "batch-chunks")
-        mine = materialize(_chunk_rows(feats).select("hash").distinct().withColumn("part", part), "batch-hashes")
-        old_hits = old_chunks.join(mine, ["part", "hash"], "left_semi")
-        met = old_hits.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-        keys = materialize(rare_chunks(_chunk_rows(feats).join(met, "hash"), feats.select("id", "total")).select("hash").distinct().withColumn("part", part), "batch-rare")
-        touched = materialize(old_chunks.join(keys, ["part", "hash"], "left_semi").select("id").distinct().withColumn("bucket", F.pmod("id", F.lit(PARTITIONS)).cast("int")), "touched")
+        sets = materialize(_sets(batch.select("id", "body_text"), k).where(F.size("s") > 0), "batch-sets")
+        own = sets.select("id", F.explode("s").alias("hash"))
+        mine = materialize(own.select("hash").distinct().withColumn("part", part), "batch-hashes")
+        met = old_shingles.join(mine, ["part", "hash"], "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
+        keys = materialize(rarest(own.join(met, "hash"), sets.select("id", F.size("s").alias("n")), threshold).distinct().withColumn("part", part), "batch-rare")
+        touched = materialize(old_shingles.join(keys, ["part", "hash"], "left_semi").select("id").distinct().withColumn("bucket", F.pmod("id", F.lit(PARTITIONS)).cast("int")), "touched")
         same = old_rows.where("email_id is not null").join(batch.select("email_id").distinct(), "email_id", "left_semi")
         near = old_rows.join(touched, ["bucket", "id"], "left_semi")
         old = same.union(near.select(same.columns)).select("id", "email_id", F.col("text").alias("body_text"), F.lit(-1).cast("bigint").alias("batch_no")).distinct()
@@ -250,8 +247,8 @@ class History:
         repeats = found.join(batch.select("id"), "id", "left_semi").select("first_id", "id")
         rows = fresh.select("id", "email_id", F.col("body_text").alias("text"), F.pmod("id", F.lit(PARTITIONS)).cast("int").alias("bucket"))
         rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/records")
-        kept = _chunk_rows(feats.join(fresh.select("id"), "id", "left_semi"))
-        kept.select("hash", "id", part.alias("part")).write.mode("append").partitionBy("part").parquet(f"{self.path}/chunks")
+        kept = own.join(fresh.select("id"), "id", "left_semi")
+        kept.select("hash", "id", part.alias("part")).write.mode("append").partitionBy("part").parquet(f"{self.path}/{table}")
         return repeats
 
 

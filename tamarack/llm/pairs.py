@@ -52,11 +52,11 @@ def featurize(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, key binary, sig array<bigint>")
 
 
-def only_ids(df: DataFrame, on: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose `on` is among ids.id (a materialised table of distinct ids)."""
+def only_ids(df: DataFrame, on: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose `on` is among ids.id (a materialised table of distinct ids), or with left_anti is not."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = ids.withColumnRenamed("id", "__id")
-    return df.join(F.broadcast(ids) if small else ids, F.col(on) == F.col("__id"), "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, F.col(on) == F.col("__id"), how)
 
 
 def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, threshold: float, miss: float) -> DataFrame:

@@ -248,6 +248,42 @@ def test_history_against_brute_force_and_batch_by_batch(spark, corpus, tmp_path)
     assert got == want
 
 
+def edited(r, text, low=0.6, high=0.75):
+    """The text with words replaced one at a time until its overlap is at the lower end of what counts."""
+    x = text.split()
+    while True:
+        y = list(x)
+        y[r.randrange(len(y))] = words(r, 1) + str(r.randrange(1000))
+        if jac(text, " ".join(y)) < low:
+            return " ".join(x)
+        x = y
+        if jac(text, " ".join(x)) <= high:
+            return " ".join(x)
+
+
+def test_history_finds_short_and_heavily_edited_bodies(spark, tmp_path):
+    r = random.Random(31)
+    texts = []
+    for _ in range(400):
+        base = words(r, r.choice([20, 22, 25, 30, 40]))
+        texts += [base, edited(r, base)]
+    slots = [words(r, 1) + str(i) for i in range(8)]
+    base = words(r, 40).split()
+    for _ in range(60):  # a hot family whose slots share their values
+        x = list(base)
+        for at in (5, 15, 25, 35):
+            x[at] = r.choice(slots)
+        texts.append(" ".join(x))
+    rows = [(i, None, "", t, 1 + i % 2) for i, t in enumerate(texts)]
+    want = replayed(rows)
+    log = spark.createDataFrame(rows, LOG)
+    assert {tuple(x) for x in history.replay(log).collect()} == want
+    store, got = history.History(spark, str(tmp_path / "h")), set()
+    for b in (1, 2):
+        got |= {tuple(x) for x in store.take(log.where(F.col("batch_no") == b)).collect()}
+    assert got == want
+
+
 # ---- every query on odd tables
 ODD = [None, "", " ", "\n\n", "\x00", "�", "x" * 200_000, "word " * 20_000, "> " * 50, "@", "a@", "{{", "Ã", "ñ" * 3000, "‍", "𝖬" * 300, "http://", "-- ", "From:\nTo:"]
 
