@@ -61,6 +61,17 @@ def near_pairs(hashes: DataFrame, bits: int = 5) -> DataFrame:
     return pair.where((F.col("a") < F.col("b")) & (d <= bits)).select("a", "b", d.alias("distance")).distinct()
 
 
+def representatives(hashes: DataFrame) -> DataFrame:
+    """(simhash, id): the smallest id of each hash."""
+    return hashes.groupBy("simhash").agg(F.min("id").alias("id"))
+
+
+def members(hashes: DataFrame) -> DataFrame:
+    """(rec_id, rep_id) of every row of (id, simhash): two rows are near-duplicates where their representatives are
+    the same or a near pair, so a hash that many rows share needs no pair for each two of them."""
+    return hashes.join(representatives(hashes).select("simhash", F.col("id").alias("rep_id")), "simhash").select(F.col("id").alias("rec_id"), "rep_id")
+
+
 def recall_verdicts(mails: DataFrame, cache: DataFrame, bits: int = 5) -> DataFrame:
     """Each mail with the cached verdict of its cluster, else of the first entry of equal domain and subject
     whose hash is within `bits`. mails: id, cluster_id, sender_domain, subject_key, simhash; cache: seq,

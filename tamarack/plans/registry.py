@@ -517,11 +517,21 @@ def _(read):
     return campaigns.campaign_ids(read("emails"), "rec_id", "subject", "body_text", "sender_address").select(F.col("id").alias("rec_id"), "campaign_id")
 
 
+def _hashed(read):
+    from ..storage import materialize
+
+    return materialize(campaigns.simhash(read("emails").where("rec_id is not null"), "rec_id", "body_text"), "mail-simhash")
+
+
 @register("hamming_pairs")
 def _(read):
-    h = campaigns.simhash(read("emails").where("length(body_text) >= 200"), "rec_id", "body_text")
-    one = h.groupBy("simhash").agg(F.min("id").alias("id"))
-    return campaigns.near_pairs(one)
+    h = _hashed(read)
+    return campaigns.near_pairs(campaigns.representatives(h)).union(campaigns.members(h).where("rec_id != rep_id").select("rep_id", "rec_id", F.lit(0).cast("bigint")))
+
+
+@register("hamming_members")
+def _(read):
+    return campaigns.members(_hashed(read))
 
 
 @register("cached_verdicts", "select t.id, c.verdict, case when c.cluster_id is not null then 'cluster' end as matched_by from triage_log t left join fast_path_cache c on t.campaign_cluster_id = c.cluster_id")

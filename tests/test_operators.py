@@ -12,6 +12,7 @@ from tamarack.functions import minhash
 from tamarack.functions import text as T
 from tamarack.graph import connected_components
 from tamarack.operators import campaigns, dedup, evaluation, features, feedback, model, sampling
+from tamarack.plans import registry
 
 MAIL = "rec_id bigint, subject string, body_text string, sender_display_name string, sender_address string, reply_to string, urls array<string>, attachments array<struct<filename:string,mime_type:string>>"
 
@@ -76,6 +77,20 @@ def test_near_pairs_are_complete(spark):
     assert got == {(i, j, d) for i, j in itertools.combinations(range(len(hs)), 2) if (d := bin(hs[i] ^ hs[j]).count("1")) <= 5}
 
 
+def test_hamming_queries_keep_every_row(spark, tmp_path):
+    body = "the parcel for you waits at the gate until noon and must be fetched by hand "
+    texts = [body, body.upper(), body + "now", "short", "Short!", "", None, "a quite different matter of the yearly meeting"] + [body * 9] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rec_id bigint, body_text string")
+    df.write.parquet(f"{tmp_path}/emails.parquet")
+    h = {x["id"]: x["simhash"] & (2**64 - 1) for x in campaigns.simhash(df, "rec_id", "body_text").collect()}
+    rep = {x["rec_id"]: x["rep_id"] for x in registry.queries()["hamming_members"](spark, str(tmp_path)).collect()}
+    pairs = {(x["a"], x["b"]): x["distance"] for x in registry.queries()["hamming_pairs"](spark, str(tmp_path)).collect()}
+    assert set(rep) == set(h) and all(pairs[rep[i], i] == 0 for i in rep if rep[i] != i)
+    for i, j in itertools.combinations(sorted(h), 2):
+        a, b = sorted((rep[i], rep[j]))
+        assert (a == b or (a, b) in pairs) == (bin(h[i] ^ h[j]).count("1") <= 5)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(None, 1), (200, 200)]
