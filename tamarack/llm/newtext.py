@@ -7,7 +7,8 @@ A recursive layout grammar over the lines of a mail:
     quoted     := intro? (prefix message)+         the prefix is stripped and the rest parsed again
     forward    := delimiter? header+ message$       a forwarded message reaches to the end of its level
     signature  := (signoff | "--") contact* device? | device | dash-name
-    notice     := a paragraph with two or more cues of a legal or confidentiality notice
+    notice     := a paragraph of any length with two or more cues of a legal or confidentiality notice, and a
+                  cue for every CUE_SPAN characters
     text       := any other line: newly written
 
 The tree is built by recursive descent; serialising the text nodes of the top level gives the new text,
@@ -58,6 +59,7 @@ confidencial|dirigido solo|su destinatario|por error|bórrelo|avise a
 confidencial|destinatário|por engano|apague-a|avise a
 закрытые сведения|только адресату|по ошибке|удалите его|предназначено|конфиденциал
 εμπιστευτικ|παραλήπτη|κατά λάθος|διαγράψτε|προορίζεται|διαγράψ"""
+CUE_SPAN = 450  # of characters; mail that only touches on such matters holds fewer cues
 QUOTE_VERBS = "wrote|said|schrieb|a écrit|escribió|escreveu|пишет|написала?|έγραψε"
 
 _split = lambda s: [x for part in s.split("\n") for x in part.split("|") if x]
@@ -191,8 +193,9 @@ def parse(lines: list[str], numbers: list[int], top: bool = True) -> list[Node]:
             while j < n and lines[j].strip() and not _prefix.match(lines[j]):
                 j += 1
             para = " ".join(x.strip() for x in lines[i:j])
-            low = para.lower() if len(para) < 900 else ""
-            if sum(c in low for c in _cues) >= 2:
+            low = para.lower()
+            cues = [c for c in _cues if c in low]
+            if len(cues) >= 2 and sum(map(low.count, cues)) * CUE_SPAN >= len(low):
                 add("notice", j - i)
                 state = "after"
                 continue

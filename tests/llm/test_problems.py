@@ -75,6 +75,15 @@ def test_layout():
     assert [n.kind for n in tree] == ["quoted", "text"] and tree[0].inner[1].kind == "quoted"
 
 
+def test_a_notice_of_any_length():
+    legal = "This message is confidential and meant for the addressee alone. If it reached you in error, delete it and tell the sender. We accept no liability for its contents. "
+    for n in (1, 6, 12, 40):
+        assert newtext.Reader().old_lines("Please see the plan.\n\n" + legal * n) == [3]
+        assert newtext.Reader().old_lines("Please see the plan.\n\n" + "\n".join([legal.strip()] * n)) == list(range(3, 3 + n))
+    plain = "We walked through the whole plan for the new depot and found that most of the gates can stay where they are. " * 12
+    assert newtext.Reader().old_lines("Hello.\n\n" + plain + "The intended recipient of the keys is Jo.") == []
+
+
 # ---- 7
 def test_personal_items():
     f = personal.Finder(["Torvin", "Hope", "Zoë"], ["Kettlewick", "O'Dunmore"])
