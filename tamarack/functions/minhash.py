@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-BANDS, ROWS = 40, 16  # unlike mails of one language share about half their three-letter shingles, so bands are long
+# unlike mails of one language share about half their three-letter shingles, so bands are long and two must meet
+HASHES, BANDS, ROWS, MEET = 640, 160, 14, 2
 CUT = 1000  # shingles are those of the first characters; the cut is part of the measure
 SCHEMA = "id bigint, key binary, s array<bigint>, bands array<bigint>"
 _rng = np.random.default_rng(1)
-_MUL = (_rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_MUL = (_rng.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+# each band takes its minima from the same HASHES, all of which are used about as often
+_LANES = np.concatenate([_rng.permutation(HASHES) for _ in range(-(-BANDS * ROWS // HASHES))])[: BANDS * ROWS].reshape(BANDS, ROWS)
 _SPACE = re.compile(r"\s+")
 
 
@@ -35,7 +38,7 @@ def shingles(text: str | None, memo: dict[str, int]) -> np.ndarray:
 def bands(s: np.ndarray) -> list[int]:
     """One hash for each band of ROWS minima."""
     with np.errstate(over="ignore"):
-        low = (s[:, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0).reshape(BANDS, ROWS)
+        low = (s[:, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0)[_LANES]
     return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(low)]
 
 

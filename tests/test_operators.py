@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,15 @@ def test_near_duplicates_by_characters(spark, small):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_bands_find_sets_at_the_threshold():
+    r, found = np.random.default_rng(5), 0
+    for _ in range(1500):
+        x = r.integers(0, 2**63, 400 + 35 + 35, dtype=np.uint64)  # 400 of 470 shared: just over 0.85
+        a, b = minhash.bands(x[:435]), minhash.bands(np.concatenate([x[:400], x[435:]]))
+        found += sum(u == v for u, v in zip(a, b)) >= getattr(minhash, "MEET", 1)
+    assert found >= 1498
+
+
 def test_budgeted_sample_keeps_its_budgets(spark, small):
     df = spark.read.parquet(f"{small}/emails.parquet").where("label in ('spam', 'phishing')")
     rows = sampling.budgeted(df, 16, 24, {"legacy": 0.35, "mid": 0.45, "recent": 0.6}).collect()
