@@ -11,7 +11,6 @@ import xxhash
 
 # unlike mails of one language share about half their three-letter shingles, so bands are long and two must meet
 HASHES, BANDS, ROWS, MEET = 640, 160, 14, 2
-CUT = 1000  # shingles are those of the first characters; the cut is part of the measure
 SCHEMA = "id bigint, key binary, s array<bigint>, bands array<bigint>"
 _rng = np.random.default_rng(1)
 _MUL = (_rng.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -21,9 +20,9 @@ _LANES = np.concatenate([_rng.permutation(HASHES) for _ in range(-(-BANDS * ROWS
 _SPACE = re.compile(r"\s+")
 
 
-def shingles(text: str | None, memo: dict[str, int]) -> np.ndarray:
-    """Sorted distinct hashes of three characters of the collapsed, lower-cased text."""
-    t = _SPACE.sub(" ", (text or "").lower())[:CUT]
+def shingles(text: str | None, memo: dict[str, int], cut: int | None = None) -> np.ndarray:
+    """Sorted distinct hashes of three characters of the collapsed, lower-cased text, or of its first `cut` characters."""
+    t = _SPACE.sub(" ", (text or "").lower())[:cut]
     out = []
     for g in {t[i : i + 3] for i in range(len(t) - 2)}:
         h = memo.get(g)
@@ -42,13 +41,13 @@ def bands(s: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(low)]
 
 
-def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_rows(batches: Iterator[pa.RecordBatch], cut: int | None = None) -> Iterator[pa.RecordBatch]:
     """(id, text) -> SCHEMA; texts without shingles give no row."""
     memo: dict[str, int] = {}
     for b in batches:
         ids, keys, sets, hashed = [], [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            s = shingles(t, memo)
+            s = shingles(t, memo, cut)
             if len(s):
                 ids.append(i)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))

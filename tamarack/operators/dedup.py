@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,16 @@ def first_by_body(df: DataFrame, pos: str, body: str) -> DataFrame:
     return df.join(df.groupBy(T.body_key(F.col(body)).alias("k")).agg(F.min(pos).alias(pos)).select(pos), pos)
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: Column, threshold: float = 0.85) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: Column, threshold: float = 0.85, cut: int | None = None) -> DataFrame:
     """(a, b), a < b: rows whose character shingles overlap by the threshold, checked exactly. Candidates share
     minhash.MEET bands of min-hashes; see the README for how many pairs at 0.85 do not, and a lower threshold loses more.
 
+    Whole texts are compared; with cut=1000 their first 1,000 characters, as in the published operator.
     Rows of equal shingle sets meet through their class: only its smallest id enters the bands, the rest are linked
     to it. Texts under three characters have no shingles and meet nobody; null ids and texts take no part.
     """
     base = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_col.alias("text")))
-    base = materialize(base.mapInArrow(minhash.shingle_rows, minhash.SCHEMA), "char-shingles")
+    base = materialize(base.mapInArrow(partial(minhash.shingle_rows, cut=cut), minhash.SCHEMA), "char-shingles")
     reps = materialize(base.groupBy("key").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.first("bands").alias("bands")), "shingle-classes")
     copies = base.select("key", "id").join(reps.select("key", F.col("id").alias("a")), "key").where("a != id").select("a", F.col("id").alias("b"))
     banded = reps.select("id", F.size("s").alias("n"), F.explode("bands").alias("band"))

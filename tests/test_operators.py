@@ -127,6 +127,15 @@ def test_near_duplicates_by_characters(spark, small):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_whole_texts_are_compared(spark):
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    opening = some(1100)
+    df = spark.createDataFrame([(1, opening + some(1500)), (2, opening + some(1500)), (3, "x")], "rec_id bigint, t string")
+    assert dedup.near_duplicate_pairs(df, "rec_id", F.col("t")).count() == 0
+    assert [(x["a"], x["b"]) for x in dedup.near_duplicate_pairs(df, "rec_id", F.col("t"), cut=1000).collect()] == [(1, 2)]
+
+
 def test_bands_find_sets_at_the_threshold():
     r, found = np.random.default_rng(5), 0
     for _ in range(1500):
