@@ -122,18 +122,20 @@ def cluster_text(c: Column) -> Column:
     return F.trim(t)
 
 
-SUBJECT_PASSES = 6
-
-
 def cluster_subject(c: Column) -> Column:
-    """A subject without reply marks, bracketed tags and trailing references; the strips run to a fixed point
-    of SUBJECT_PASSES passes, more than any subject with as many stacked references needs."""
+    """A subject without reply marks, bracketed tags and trailing references; the strips run until nothing changes.
+    Each pass that changes a subject shortens it, so its length bounds the passes; the rest are skipped."""
     s = F.btrim(F.lower(text(c)))
     s = F.btrim(F.regexp_replace(s, rf"^(?:(?:re|fwd|fw|external|notice|urgent|action required|important)[\s\p{{Z}}:;\-\]]+)+", ""))
-    for _ in range(SUBJECT_PASSES):
+
+    def strip(s: Column) -> Column:
         s = F.btrim(F.regexp_replace(s, r"\[.*?\]|\(.*?\)", ""))
         s = F.btrim(F.regexp_replace(s, r"[\s\-_|:]+(?:account|ref|reference|case|ticket|order|inv|invoice|id|batch|num|number)[\s#:]*[\p{L}\p{N}_\-]*\s*$", ""))
-        s = F.btrim(F.regexp_replace(s, r"[\s\-_#:]+[a-f0-9\-]{3,}\s*$", ""))
+        return F.btrim(F.regexp_replace(s, r"[\s\-_#:]+[a-f0-9\-]{3,}\s*$", ""))
+
+    start = F.struct(s.alias("s"), F.lit(False).alias("done"))
+    again = lambda x: F.when(x["done"], x).otherwise(F.transform(F.array(strip(x["s"])), lambda y: F.struct(y.alias("s"), (y == x["s"]).alias("done")))[0])
+    s = F.aggregate(F.sequence(F.lit(0), F.length(s)), start, lambda x, _: again(x), lambda x: x["s"])
     s = F.btrim(F.regexp_replace(s, r"\s+", " "), F.lit(" \t\n\r-_:|#"))
     return F.when(s == "", "no_subject").otherwise(s)
 

@@ -68,6 +68,12 @@ def test_subject(spark, subject, want):
     assert spark.createDataFrame([(subject,)], "s string").select(T.cluster_subject(F.col("s")).alias("x")).first()["x"] == want
 
 
+@pytest.mark.parametrize("n", [1, 8, 30])
+def test_subject_with_many_trailing_numbers(spark, n):
+    subject = "Your parcel" + " - 4091" * n + " [x] - Ref 12" * n
+    assert spark.createDataFrame([(subject,)], "s string").select(T.cluster_subject(F.col("s")).alias("x")).first()["x"] == "your parcel"
+
+
 def test_near_pairs_are_complete(spark):
     r = random.Random(1)
     base = [r.getrandbits(64) for _ in range(20)]
