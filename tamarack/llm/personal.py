@@ -190,7 +190,13 @@ class Finder:
     @staticmethod
     def _names(text: str, parts: list[tuple[int, int, set]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         # longest part first where one name holds another
-        parts = [p for p in parts if not any(q is not p and q[0] <= p[0] and p[1] <= q[1] and q[1] - q[0] > p[1] - p[0] for q in parts)] if len(parts) < 400 else parts
+        reach, start, outer = -1, -1, []
+        for p in sorted(parts, key=lambda p: (p[0], -p[1])):
+            # what starts no later and ends no earlier holds it; only an equal span is no longer
+            if p[1] > reach or (p[0], p[1]) == (start, reach):
+                outer.append(p)
+                start, reach = p[0], p[1]
+        parts = outer
         parts = [p for p in parts if not any(a <= p[0] < b for a, b in taken)] if taken else parts
         at = {a: (b, tags) for a, b, tags in parts}
         out, reach = [], -1

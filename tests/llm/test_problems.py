@@ -96,6 +96,13 @@ def test_personal_items():
     assert f.replace("mail a@b.example now") == "mail [EMAIL] now" and f.replace(None) is None and f.find("") == []
 
 
+def test_names_in_longer_names_whatever_the_length():
+    f = personal.Finder(["Ann", "Ann Mary", "Torvin"], ["Kettlewick", "Mary"])
+    line = "Ask Ann Mary Kettlewick or Torvin Mary today.\n"
+    one = f.find(line)
+    assert one and f.find(line * 300) == [(k, a + i * len(line), b + i * len(line)) for i in range(300) for k, a, b in one]
+
+
 # ---- 8
 def test_tokens_equal_a_public_implementation():
     public = pytest.importorskip("tokenizers")
