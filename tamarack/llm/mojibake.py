@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -77,7 +78,9 @@ def _automaton(page: dict[str, int]) -> re.Pattern:
 AUTOMATA = {p: _automaton(PAGES[p]) for p in (*STRUCTURED_PAGES, *LETTER_PAGES)}
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]|[─-▟](?=\\w)|(?<=\\w)[─-▟]")
 _LIGATURES = re.compile("[ﬀ-ﬆ]")  # they stand for letters far more often than for lost ones
-_ODD = re.compile("[" + "".join(re.escape(c) for c in sorted(SUSPECT)) + "]"
+# the byte-order mark may come out as nothing but characters at home in mail
+_MARKS = ["".join(c for x in b"\xef\xbb\xbf" for c, b in PAGES[p].items() if b == x) for p in STRUCTURED_PAGES]
+_ODD = re.compile("|".join(re.escape(m) for m in _MARKS if len(m) == 3) + "|[" + "".join(re.escape(c) for c in sorted(SUSPECT)) + "]"
                   r"|[a-zß-öø-ÿ][À-ÖØ-Þ]|[а-яё][А-ЯЁ]|[A-Za-z][Ͱ-Ͽ]|[Ͱ-Ͽ][A-Za-z]|[À-ÖØ-öø-ÿ]{3}|[ÂÃ][ -¿]|[А-ЯЁ]{4}|[«»·°º§©®½¼¾²³ª¿¡„№](?=\w)|(?<=\w)[«·°º§©®½¼¾²³ª¿¡„“‘–—]")
 _TOKEN = re.compile(r"\S*[^\x00-\x7f]\S*")
 
@@ -92,6 +95,12 @@ def _plausible(text: str) -> bool:
     return True
 
 
+def _assigned(text: str) -> bool:
+    """Characters of three bytes and more may be any that are assigned and no control; two of a page's characters
+    stand side by side by chance more often, so what they give must be plausible."""
+    return all(unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") if c > "\u07ff" else _plausible(c) for c in text)
+
+
 _SCRIPTS = tuple(re.compile(x) for x in ("[A-Za-zÀ-ÖØ-öø-ɏﬀ-ﬆ]", "[Ѐ-ӿ]", "[Ͱ-Ͽ]"))
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -134,7 +143,7 @@ class Repairer:
                     out = bytes(table[c] for c in s).decode("utf-8")
                 except UnicodeDecodeError:
                     return s
-                if not _plausible(out):
+                if not (_plausible(out) if letters else _assigned(out)):
                     return s
                 a, b = m.start(), m.end()
                 while a and text[a - 1].isalnum():

@@ -84,6 +84,15 @@ def test_a_notice_of_any_length():
     assert newtext.Reader().old_lines("Hello.\n\n" + plain + "The intended recipient of the keys is Jo.") == []
 
 
+@pytest.mark.parametrize("sign", ["→", "≤", "●", "\u200b", "\ufeff"])
+def test_signs_read_as_a_western_page(sign):
+    fix = mojibake.Repairer(counts()).repair
+    text = f"The gate {sign} the depot at noon"
+    wrong = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in sign.encode())
+    assert fix(text.replace(sign, wrong)) == (text, True)
+    assert fix(text) == (text, False)
+
+
 # ---- 7
 def test_personal_items():
     f = personal.Finder(["Torvin", "Hope", "Zoë"], ["Kettlewick", "O'Dunmore"])
