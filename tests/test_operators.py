@@ -111,6 +111,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["rising", "star", "shuffled"])
+def test_components_settle_in_few_rounds(spark, order):
+    n, r = 1000, random.Random(4)
+    names = list(range(n))
+    if order == "shuffled":
+        r.shuffle(names)
+    edges = [(i, n) for i in range(n)] if order == "star" else list(zip(names, names[1:]))
+    rounds: list = []
+    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), rounds).collect()}
+    assert set(got.values()) == {0} and len(got) == n + (order == "star")
+    assert len(rounds) <= 12 and sum(rounds) <= (15 if order != "shuffled" else 40)
+
+
 def test_greedy_keep(spark):
     r = random.Random(5)
     ids = [(i, r.randrange(3)) for i in range(60)]
