@@ -9,7 +9,7 @@ from ..storage import materialize, spread
 from . import pairs as P
 
 
-def overlaps(emails: DataFrame, threshold: float = 0.6, k: int = 3, miss: float = 1e-4) -> DataFrame:
+def overlaps(emails: DataFrame, threshold: float = 0.6, k: int = 3, miss: float = 1e-6) -> DataFrame:
     """(rec_id_a, rec_id_b): pairs of a train and a val/test row whose shingle overlap reaches the threshold.
 
     Equal shingle sets form a class with one row per side; band keys are joined train to evaluation only, so
@@ -18,16 +18,14 @@ def overlaps(emails: DataFrame, threshold: float = 0.6, k: int = 3, miss: float
     """
     rows = emails.where("split in ('train', 'val', 'test') and rec_id is not null and length(body_text) >= 39")
     joined = F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.col("body_text"))
-    texts = spread(rows.select(F.col("rec_id").alias("id"), joined.alias("text"), F.col("body_text").alias("least")))
-    side = rows.select(F.col("rec_id").alias("id"), (F.col("split") == "train").alias("train"))
-    feats = P.featurize(texts, k)
-    feats = materialize(feats, "split-features")
-    keyed = feats.select("key", "id").join(side, "id")
+    texts = spread(rows.select(F.col("rec_id").alias("id"), joined.alias("text"), F.col("body_text").alias("least"), (F.col("split") == "train").alias("train")))
+    feats = materialize(P.featurize(texts, k).withColumnRenamed("flag", "train"), "split-features")
+    # equal sets have equal signatures, so a class takes any of them
     classes = materialize(
-        keyed.groupBy("key").agg(F.min("id").alias("rep"), F.max("train").alias("t"), F.min("train").alias("all_t"))
-        .select("key", "rep", "t", (~F.col("all_t")).alias("e")), "split-classes")
-    members = keyed.join(classes.select("key", "rep"), "key").select("rep", "id", "train")
-    sigs = materialize(feats.join(classes.select(F.col("rep").alias("id"), "t", "e"), "id").select("id", "sig", "t", "e"), "split-signatures")
+        feats.groupBy("key").agg(F.min("id").alias("rep"), F.max("train").alias("t"), F.min("train").alias("all_t"), F.first("sig").alias("sig"))
+        .select("key", "rep", "t", (~F.col("all_t")).alias("e"), "sig"), "split-classes")
+    members = feats.select("key", "id", "train").join(classes.select("key", "rep").hint("merge"), "key").select("rep", "id", "train")
+    sigs = classes.select(F.col("rep").alias("id"), "sig", "t", "e")
     bands = sigs.select("id", "t", "e", F.explode("sig").alias("band"))
     cand = (bands.where("t").select("band", F.col("id").alias("a")).join(bands.where("e").select("band", F.col("id").alias("b")), "band")
             .where("a != b").select("a", "b").distinct())
@@ -37,7 +35,7 @@ def overlaps(emails: DataFrame, threshold: float = 0.6, k: int = 3, miss: float
     links = materialize(near.union(same), "split-links")
     train = members.where("train").select(F.col("rep").alias("a"), F.col("id").alias("x"))
     evals = members.where("not train").select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    out = links.join(train, "a").join(evals, "b")
+    out = links.join(train.hint("merge"), "a").join(evals.hint("merge"), "b")
     return out.select(F.least("x", "y").alias("rec_id_a"), F.greatest("x", "y").alias("rec_id_b")).distinct()
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from ..graph import connected_components
 from ..storage import materialize, spread
 from . import pairs as P
+from . import prefix
 
 SMALL_BUCKET = 9
 LONG_SET = 64
@@ -41,41 +42,38 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     return star.select("a", "b").union(near.select("a", "b")).distinct()
 
 
-def left_over(rows: DataFrame, edges: DataFrame, salts: int = 16) -> DataFrame:
-    """Pairs of large buckets that lie in different components after the pivots were linked.
+def left_over(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, comp) of the texts of large buckets whose rows lie in different components after the pivots were linked.
 
-    Completes bucket_pairs: usually empty, since a large bucket is one family. Salted on both sides.
+    Usually empty, since a large bucket is one family. Rows without a component are one of their own.
     """
-    n = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_BUCKET)
     comp = connected_components(edges)
-    big = (rows.join(n.select("band"), "band").join(comp.withColumnRenamed("node", "id"), "id", "left")
-           .select("band", "id", F.coalesce("component", "id").alias("comp")))
+    big = rows.join(comp.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
     mixed = big.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    open_ = materialize(big.join(mixed, "band"), "mixed-buckets")
-    if open_.isEmpty():
-        return edges.limit(0)
-    left = open_.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    right = open_.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return left.join(right, ["band", "salt"]).where("a < b and ca != cb").select("a", "b").distinct()
+    return materialize(big.join(mixed, "band").select("id", "comp").distinct(), "mixed-buckets")
 
 
 def minhash_edges(reps: DataFrame, texts: DataFrame, k: int, threshold: float, miss: float) -> DataFrame:
-    """Verified pairs among distinct texts. reps: materialised (id, sig); texts: (id, text)."""
+    """Verified pairs among distinct texts. reps: materialised (id, sig); texts: (id, text).
+
+    What pivots leave open in large buckets is completed by the prefix filter, which compares only texts of different
+    components: no bucket meets itself in full.
+    """
     bands = reps.select("id", F.explode("sig").alias("band"))
     cand = materialize(bucket_pairs(bands), "candidates")
     edges = materialize(P.verify(cand, reps, texts, k, threshold, miss), "edges")
     large = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_BUCKET), "large-buckets")
     if not large.isEmpty():
-        more = materialize(left_over(bands.join(large.select("band"), "band", "left_semi"), edges), "candidates")
-        if not more.isEmpty():
-            edges = edges.union(P.verify(more, reps, texts, k, threshold, miss))
+        open_ = left_over(bands.join(large.select("band"), "band", "left_semi"), edges)
+        if not open_.isEmpty():
+            edges = edges.union(prefix.across(texts, open_, k, threshold))
     return edges
 
 
-def body_edges(emails: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, k: int = 3, miss: float = 1e-4) -> DataFrame:
+def body_edges(emails: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, k: int = 3, miss: float = 1e-6) -> DataFrame:
     """Edges (a, b) that join like texts of at least 20 words; equal shingle sets are linked to their first row."""
     texts = spread(emails.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(f"{id_col} is not null and length({text_col}) >= 39"))
-    feats = materialize(P.featurize(texts.select("id", "text", "text"), k), "features")
+    feats = materialize(P.featurize(texts.select("id", "text", "text", F.lit(None).cast("boolean")), k).drop("flag"), "features")
     classes = materialize(feats.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "classes")
     copies = (feats.select("key", "id").join(classes.where("n > 1").select("key", F.col("id").alias("a")), "key")
               .where("id != a").select("a", F.col("id").alias("b")))
@@ -120,8 +118,7 @@ def subject_edges(log: DataFrame, id_col: str, text_col: str, threshold: float =
     cand = all_pairs(banded)
     lookup = classes.select("id", "s")
     both = cand.join(lookup.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(lookup.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    exact = both.where(shared * 10_000 >= (F.size("sa") + F.size("sb") - shared) * round(threshold * 10_000)).select("a", "b")
+    exact = both.where(P.alike("sa", "sb", threshold)).select("a", "b")
     edges = exact.union(copies)
     wordy = classes.where(F.size("s") >= math.ceil(threshold * LONG_SET))
     if wordy.isEmpty():
@@ -155,8 +152,7 @@ def _long_edges(wordy: DataFrame, threshold: float) -> DataFrame:
     cand = all_pairs(sigs.select("id", F.explode("sig").alias("band"), F.lit(True).alias("small"), F.lit(True).alias("large")))
     look = wordy.select("id", "s")
     both = cand.join(look.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(look.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 10_000 >= (F.size("sa") + F.size("sb") - shared) * round(threshold * 10_000)).select("a", "b")
+    return both.where(P.alike("sa", "sb", threshold)).select("a", "b")
 
 
 def groups(edges_by_field: dict[str, DataFrame]) -> DataFrame:

@@ -9,7 +9,8 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
-BANDS, ROWS = 40, 4
+# a pair at 0.6 misses all bands with probability (1 - 0.6 ** 4) ** 80 = 1.5e-5; the first COMPARED are what pairs are judged by
+BANDS, ROWS, COMPARED = 80, 4, 40
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -99,8 +100,8 @@ def least_matches(threshold: float, miss: float, total: int, batch: int) -> tupl
     return tuple(out)
 
 
-def survives(a: np.ndarray, b: np.ndarray, threshold: float, miss: float = 1e-4, batch: int = 32) -> np.ndarray:
-    """Sequential Bayesian pruning of signature pairs (two arrays of shape pairs x BANDS): a mask."""
+def survives(a: np.ndarray, b: np.ndarray, threshold: float, miss: float = 1e-6, batch: int = 32) -> np.ndarray:
+    """Sequential Bayesian pruning of signature pairs (two arrays of shape pairs x bands): a mask."""
     eq = (a.view(np.uint16).reshape(len(a), -1) == b.view(np.uint16).reshape(len(b), -1))
     total = eq.shape[1]
     alive = np.arange(len(a))
