@@ -35,7 +35,10 @@ BYTE_PAIRS = (
 #: characters at home in the corpus' languages and in ordinary typography
 AT_HOME = set("äöüßÄÖÜéèêëàâçîïôùûœÉÈÀÇÊÔÎÂáíóúñÁÍÓÚÑ¿¡ãõÃÕ–—‘’“”„«»…€£°ºª№·©®™½¼¾²³§  ‍️­")
 AT_HOME |= {chr(c) for c in range(0x410, 0x450)} | set("Ёё") | set("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩαβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰΆΈΉΊΌΎΏ")
-MIN_PAIR_COUNT = 3
+# character pairs a million pairs of the corpus: known from the first rate on, unknown ones count as the second; so what
+# is known does not depend on the size of the table
+MIN_RATE, FLOOR_RATE = 0.4, 0.06
+ASCII_LEVEL = 4.0  # log rate of words without a character beyond ASCII
 
 
 def _bytes_of(page: str) -> dict[str, int]:
@@ -81,7 +84,7 @@ _LIGATURES = re.compile("[ﬀ-ﬆ]")  # they stand for letters far more often th
 # the byte-order mark may come out as nothing but characters at home in mail
 _MARKS = ["".join(c for x in b"\xef\xbb\xbf" for c, b in PAGES[p].items() if b == x) for p in STRUCTURED_PAGES]
 _ODD = re.compile("|".join(re.escape(m) for m in _MARKS if len(m) == 3) + "|[" + "".join(re.escape(c) for c in sorted(SUSPECT)) + "]"
-                  r"|[a-zß-öø-ÿ][À-ÖØ-Þ]|[а-яё][А-ЯЁ]|[A-Za-z][Ͱ-Ͽ]|[Ͱ-Ͽ][A-Za-z]|[À-ÖØ-öø-ÿ]{3}|[ÂÃ][ -¿]|[А-ЯЁ]{4}|[«»·°º§©®½¼¾²³ª¿¡„№](?=\w)|(?<=\w)[«·°º§©®½¼¾²³ª¿¡„“‘–—]")
+                  r"|[a-zß-öø-ÿ][À-ÖØ-Þ]|[а-яё][А-ЯЁ]|[A-Za-z][Ͱ-Ͽ]|[Ͱ-Ͽ][A-Za-z]|[ВГ][\u00a0-¿ЁёЂЃЉЊЌЋЏђѓљњќћџЎўҐґЄє№]|[ΒΓ][\u00a0-¿]|[À-ÖØ-öø-ÿ]{3}|[ÂÃ][ -¿]|[А-ЯЁ]{4}|[«»·°º§©®½¼¾²³ª¿¡„№](?=\w)|(?<=\w)[«·°º§©®½¼¾²³ª¿¡„“‘–—]")
 _TOKEN = re.compile(r"\S*[^\x00-\x7f]\S*")
 
 
@@ -114,8 +117,9 @@ class Repairer:
     """Applies the automata and byte pairs; counts: how often two characters stand side by side in the corpus."""
 
     def __init__(self, counts: dict[str, int]):
-        self.log = {k: math.log(v + 0.5) for k, v in counts.items()}
-        self.floor = math.log(0.5)
+        million = max(1, sum(counts.values())) / 1e6
+        self.log = {k: math.log(v / million) for k, v in counts.items() if v >= MIN_RATE * million}
+        self.floor = math.log(max(FLOOR_RATE, 0.5 / million))  # a small table tells no rate under half a pair
 
     def likely(self, token: str) -> float:
         """Mean log count of the character pairs that hold a character beyond ASCII."""
@@ -126,7 +130,7 @@ class Repairer:
             if not pair.isascii():
                 total += log.get(pair, floor)
                 n += 1
-        return total / n if n else 6.0
+        return total / n if n else ASCII_LEVEL
 
     def _spans(self, text: str) -> str | None:
         """The text with every multibyte span of one page decoded, or None."""
@@ -219,10 +223,7 @@ class Repairer:
         bad = bool(_LOST.search(text))
         if not bad and not _ODD.search(text):
             return text, False
-        for _ in range(4):
-            fixed = self._spans(text)
-            if fixed is None or fixed == text:
-                break
+        while (fixed := self._spans(text)) is not None and fixed != text:  # a decoded span is shorter, so this ends
             text, bad = fixed, True
         fixed = self._tokens(text)
         if fixed is not None and fixed != text:
@@ -247,7 +248,7 @@ def pair_counts(texts: DataFrame) -> dict[str, int]:
         keep = {k: v for k, v in total.items() if k[0] < "԰" and k[1] < "԰" and (k[0].isalpha() or k[0] == " ") and (k[1].isalpha() or k[1] == " ")}
         yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.string()), pa.array(list(keep.values()), pa.int64())], ["pair", "n"])
 
-    rows = texts.mapInArrow(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(f"n >= {MIN_PAIR_COUNT}").collect()
+    rows = texts.mapInArrow(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     return {r["pair"]: r["n"] for r in rows}
 
 
