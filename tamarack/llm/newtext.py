@@ -117,8 +117,6 @@ def _intro(lines: list[str], i: int) -> int:
         if i + n > len(lines) or (n > 1 and (not lines[i + n - 1].strip() or _prefix.match(lines[i + n - 1]))):
             return 0
         text = f"{text} {lines[i + n - 1].strip()}".strip()
-        if len(text) > 220:
-            return 0
         if text.endswith(":") and any(p.match(text) for p in _intros):
             return n
         if text.endswith(":") or n == 1 and not re.match(r"(?:On|Am|Le|El|Em|Στις|Στην|Quoting|Zitat|Citation|Citando|\d)\b|[^\W\d_a-zа-яα-ω]", text):
