@@ -41,7 +41,6 @@ X = r"[^\W\d_a-zа-яёα-ωß-öø-ÿ][\w'’-]*"  # a capitalised word
 _local = r"[^\W_](?:[\w.+%'-]*[\w+%-])?"
 _domain = r"[^\W_][\w-]*(?:\.[\w-]*[^\W_])+"
 _at_mail = re.compile(rf"@({_domain})")
-_left = re.compile(r"[\w.+%'-]+$")
 _dot = r"(?:[ ]?[\[({][ ]?dot[ ]?[\])}][ ]?|\.)"
 _at = r"[ ]?[\[({][ ]?at[ ]?[\])}][ ]?"
 _spelled = re.compile(rf"(?<![\w.+-])[\w+%-]+(?:{_dot}[\w+%-]+)*{_at}[\w-]+(?:{_dot}[\w-]+)+", re.I)
@@ -134,11 +133,13 @@ class Finder:
             if "at" in tags:
                 if cue == "@":
                     m = _at_mail.match(text, a)
-                    left = _left.search(text, max(0, a - 80), a)
-                    if m and left:
-                        start = left.start() + len(left.group(0)) - len(left.group(0).lstrip(".'%+-"))
-                        if start < a:
-                            mails.append((start, m.end()))
+                    start = a
+                    while start and (text[start - 1].isalnum() or text[start - 1] in "_.+%'-"):
+                        start -= 1
+                    while start < a and text[start] in ".'%+-":
+                        start += 1
+                    if m and start < a:
+                        mails.append((start, m.end()))
                 elif "dot" in cue:
                     worded = True
                 else:
