@@ -54,6 +54,23 @@ def test_garbled_single_bytes_come_back():
     assert fix.repair("lost � here") == ("lost � here", True)
 
 
+def test_letters_read_as_cyrillic_inside_latin_text():
+    fix, text = mojibake.Repairer(counts()).repair, "La réunion là où nous étions"
+    for word in ("là", "réunion"):
+        assert fix(text.replace(word, word.encode().decode("cp1251"))) == (text, True)
+
+
+def test_rates_do_not_depend_on_the_size_of_the_table():
+    one, ten = counts(), {k: v * 10 for k, v in counts().items()}
+    big = lambda c: {k: v * 10000 for k, v in c.items()}
+    a, b = mojibake.Repairer(big(one)), mojibake.Repairer(big(ten))
+    assert a.log == pytest.approx(b.log) and a.floor == b.floor
+    deep = "für die Größe geprüft"
+    for _ in range(7):  # read wrongly again and again
+        deep = "".join(bytes([x]).decode("cp1252") if x not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(x) for x in deep.encode())
+    assert a.repair(deep) == ("für die Größe geprüft", True)
+
+
 @pytest.mark.parametrize("text", [None, "", "abc", "SITUAÇÃO É VÁLIDA", "ДОСТУП К СЧЁТУ", "We sent =C3=A9 and &eacute;", "für die Größe", "«ООО» №5"])
 def test_clean_text_stays(text):
     assert mojibake.Repairer(counts()).repair(text) == (text, False)
@@ -75,6 +92,12 @@ def test_layout():
     assert [n.kind for n in tree] == ["quoted", "text"] and tree[0].inner[1].kind == "quoted"
 
 
+def test_an_introduction_of_any_length():
+    long_ = "x" * 300 + "@mail.example"
+    body = f"new words\n\nOn 1 May 2020 at 10:00 Ann Cee <{long_}> wrote:\n> old words"
+    assert newtext.Reader().old_lines(body) == [3, 4]
+
+
 def test_a_notice_of_any_length():
     legal = "This message is confidential and meant for the addressee alone. If it reached you in error, delete it and tell the sender. We accept no liability for its contents. "
     for n in (1, 6, 12, 40):
@@ -105,6 +128,12 @@ def test_personal_items():
     assert f.replace("mail a@b.example now") == "mail [EMAIL] now" and f.replace(None) is None and f.find("") == []
 
 
+def test_local_parts_of_any_length():
+    f = personal.Finder([], [])
+    for n in (5, 90, 200):
+        assert f.find("write to " + "k" * n + "@mail.x.example now") == [("email", 9, 9 + n + 15)]
+
+
 def test_names_in_longer_names_whatever_the_length():
     f = personal.Finder(["Ann", "Ann Mary", "Torvin"], ["Kettlewick", "Mary"])
     line = "Ask Ann Mary Kettlewick or Torvin Mary today.\n"
@@ -155,11 +184,25 @@ def test_leaks():
 
 
 # ---- 10
-@pytest.mark.parametrize("text, bad", [("Dear {{first_name}}, your parcel waits.", True), ("Hello NaN, thank you.", True), ("Lorem ipsum dolor sit amet", True), ("404 Not Found - the page does not exist", True), ("Please enable JavaScript to view this.", True),
-                                       ("Traceback (most recent call last):", True), ("Mails of this campaign left the merge field %%FNAME%% unfilled, which we took as odd.", False), ("The user saw a 404 error when opening the page, so we sent it again.", False),
-                                       ("Our guide tells staff to disable JavaScript in the reader.", False), ("Run ls ${HOME} on the box.", False), ("We meet at noon.", False)])
-def test_trusted_passages(text, bad):
-    assert any(residue.trusted(p) for p in residue.passages(text)) == bad
+LABELLED = [("Dear {{first_name}}, your parcel waits.", True), ("Hello NaN, thank you.", True), ("Lorem ipsum dolor sit amet", True), ("404 Not Found - the page does not exist", True), ("Please enable JavaScript to view this.", True),
+            ("Traceback (most recent call last):", True), ("Please renew the parcel for <<salutation>> at month end.", True), ("Your order None of Jenom will leave hall four on None.", True), ("Mails of this campaign left the merge field %%FNAME%% unfilled, which we took as odd.", False),
+            ("Run ls ${HOME} on the box before you file the report.", False), ("We meet at noon.", False), ("Designers still use lorem ipsum in drafts, but the price list we got was real and blocked.", False), ("You can reach Zelda on (555) 555-0187 before noon.", False), (None, False), ("", False), (" ", False)]
+
+
+def test_residue_is_learned(spark):
+    """Texts of known kind within the corpus: told apart with all seeds and with half of them; the model finds more than its seeds."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**9 + i, t) for i, (t, _) in enumerate(LABELLED)], "doc_id bigint, text string"))
+    all_ = {r["doc_id"] for r in residue.found(docs).collect()}
+    wrong = {i - 10**9 for i in all_ if i >= 10**9} ^ {i for i, (_, bad) in enumerate(LABELLED) if bad}
+    assert len(wrong) <= 1 and not {i for i in wrong if LABELLED[i][1]}
+    some, _ = residue.learned(docs)
+    trusted = {r["doc_id"] for r in some.where("trusted").select("doc_id").collect()}
+    assert trusted < all_ and len(all_) > 1.5 * len(trusted)
+    half = {r["doc_id"] for r in residue.found(docs, seeds=("greeting", "status", "lorem")).collect()}
+    assert len(half & all_) >= 0.9 * len(all_) and len(half - all_) <= 0.01 * len(all_)
+    clean = {r["doc_id"] for r in residue.clean(docs).collect()}
+    assert clean == {r["doc_id"] for r in docs.collect()} - all_
 
 
 # ---- pairs
