@@ -42,6 +42,11 @@ def urls_of(c: Column) -> Column:
     return F.regexp_extract_all(text(c), F.lit(r"https?://[^\s<>\"']+"), F.lit(0))
 
 
+def mailbox_urls(c: Column) -> Column:
+    """http(s) URLs as mailboxes show them: a backslash ends one too."""
+    return F.regexp_extract_all(text(c), F.lit(r"https?://[^\s<>\"'\\]+"), F.lit(0))
+
+
 def root_domain(address: Column) -> Column:
     """Registered domain of an address: two labels, three below a second-level registry label."""
     a = text(address)

@@ -2,49 +2,73 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import spread
+
+
+def simhash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) -> (id, simhash), row by row: no shuffle. A feature's hash is the first 8 bytes of its md5."""
+    memo: dict[str, int] = {}
+    for b in batches:
+        out = []
+        for words in b.column(1).to_pylist():
+            fs = (words or []) + [f"{x}_{y}" for x, y in zip(words or [], (words or [])[1:])]
+            if not fs:
+                out.append(0)
+                continue
+            if len(memo) > 200_000:
+                memo.clear()
+            hashes = []
+            for f in fs:
+                h = memo.get(f)
+                if h is None:
+                    h = memo[f] = int.from_bytes(hashlib.md5(f.encode(), usedforsecurity=False).digest()[:8], "big")
+                hashes.append(h)
+            votes = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            out.append(int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["id", "simhash"])
+
+
+def simhash_of(words: DataFrame) -> DataFrame:
+    """(id bigint, words array<string>) -> (id, simhash): 64-bit SimHash of the words and word pairs, as a signed long;
+    no words give 0."""
+    return words.mapInArrow(simhash_rows, "id bigint, simhash bigint")
 
 
 def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, simhash): 64-bit SimHash of each row's normalised words and word pairs, as a signed long.
-
-    One row a feature occurrence meets one combined sum for each of the 64 bits; an empty text gives 0.
-    A feature's hash is the first 8 bytes of its md5. Ids must be unique.
-    """
+    """(id, simhash) of each row's normalised words; rows are independent, so nothing is shuffled."""
     words = F.filter(F.split(T.cluster_text(F.col(text_col)), " "), lambda w: w != "")
-    base = df.select(F.col(id_col).alias("id"), words.alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit("_"), F.element_at("w", i + 1)))
-    feats = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
-    # the same feature often recurs in a text: count it once, weigh by its count
-    rows = base.select("id", F.explode(feats).alias("f")).groupBy("id", "f").agg(F.count(F.lit(1)).alias("n"))
-    h = F.conv(F.substring(F.md5(F.col("f")), 1, 8), 16, 10).cast("bigint")
-    lo = F.conv(F.substring(F.md5(F.col("f")), 9, 8), 16, 10).cast("bigint")
-    hashed = rows.select("id", "n", h.alias("hi"), lo.alias("lo"))
-
-    def bit(i: int) -> Column:
-        part, k = ("hi", i - 32) if i >= 32 else ("lo", i)
-        return F.sum(F.when(F.shiftright(F.col(part), k).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))) > 0
-
-    sums = hashed.groupBy("id").agg(*[bit(i).alias(f"b{i}") for i in range(64)])
-    value = F.lit(0).cast("bigint")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return base.select("id").join(sums.select("id", value.alias("h")), "id", "left").select("id", F.coalesce("h", F.lit(0).cast("bigint")).alias("simhash"))
+    return simhash_of(spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col))).select("id", words.alias("words")))
 
 
 def hex16(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def campaign_ids(df: DataFrame, id_col: str, subject: str, body: str, sender: str) -> DataFrame:
-    """(id, campaign_id): of root domain, normalised subject and the upper 44 bits of the SimHash."""
-    key = df.select(F.col(id_col).alias("id"), T.root_domain(F.col(sender)).alias("d"), T.cluster_subject(F.col(subject)).alias("s"))
+def from_hex16(c: Column) -> Column:
+    """A hash of 16 hexadecimal digits as a signed long."""
+    part = lambda at: F.conv(F.substring(c, at, 8), 16, 10).cast("bigint")
+    return F.shiftleft(part(1), 32).bitwiseOR(part(9))
+
+
+def campaign_key(rows: DataFrame) -> DataFrame:
+    """(id, d, s, simhash) -> (id, campaign_id): of root domain, normalised subject and the upper 44 bits of the hash."""
     coarse = F.shiftrightunsigned(F.col("simhash"), 20).cast("string")
-    digest = F.sha2(F.concat_ws("|", "d", "s", coarse), 256)
-    return key.join(simhash(df, id_col, body), "id").select("id", F.concat(F.lit("camp_"), F.substring(digest, 1, 10)).alias("campaign_id"))
+    return rows.select("id", F.concat(F.lit("camp_"), F.substring(F.sha2(F.concat_ws("|", "d", "s", coarse), 256), 1, 10)).alias("campaign_id"))
+
+
+def campaign_ids(df: DataFrame, id_col: str, subject: str, body: str, sender: str) -> DataFrame:
+    """(id, campaign_id) of each row; see campaign_key."""
+    key = df.select(F.col(id_col).cast("bigint").alias("id"), T.root_domain(F.col(sender)).alias("d"), T.cluster_subject(F.col(subject)).alias("s"))
+    return campaign_key(key.join(simhash(df, id_col, body), "id"))
 
 
 def near_pairs(hashes: DataFrame, bits: int = 5) -> DataFrame:
@@ -76,13 +100,13 @@ def recall_verdicts(mails: DataFrame, cache: DataFrame, bits: int = 5) -> DataFr
     """Each mail with the cached verdict of its cluster, else of the first entry of equal domain and subject
     whose hash is within `bits`. mails: id, cluster_id, sender_domain, subject_key, simhash; cache: seq,
     cluster_id, sender_domain, normalized_subject, simhash, verdict. A mail without a match gets nulls."""
-    exact = mails.join(cache.select("cluster_id", F.col("verdict").alias("v1"), F.col("seq").alias("s1")), "cluster_id", "left")
-    near = (mails.alias("m").join(cache.alias("c"), (F.col("m.sender_domain") == F.col("c.sender_domain")) & (F.col("m.subject_key") == F.col("c.normalized_subject"))
+    exact = mails.join(cache.select("cluster_id", F.col("verdict").alias("v1"), F.col("cluster_id").alias("c1")), "cluster_id", "left")
+    open_ = exact.where("c1 is null").select("id", "sender_domain", "subject_key", "simhash")
+    near = (open_.alias("m").join(cache.alias("c"), (F.col("m.sender_domain") == F.col("c.sender_domain")) & (F.col("m.subject_key") == F.col("c.normalized_subject"))
                                   & (F.bit_count(F.col("m.simhash").bitwiseXOR(F.col("c.simhash"))) <= bits)).groupBy(F.col("m.id").alias("id"))
-            .agg(F.min(F.struct("c.seq", "c.verdict")).alias("first")))
-    return (exact.join(near, "id", "left").select("id", F.coalesce("v1", "first.verdict").alias("verdict"),
-            F.when(F.col("v1").isNotNull(), "cluster").when(F.col("first").isNotNull(), "near").alias("matched_by")))
-
+            .agg(F.min(F.struct("c.seq", "c.verdict", "c.cluster_id")).alias("first")))
+    return (exact.join(near, "id", "left").select("id", F.coalesce("v1", "first.verdict").alias("verdict"), F.coalesce("c1", "first.cluster_id").alias("matched_cluster"),
+            F.when(F.col("c1").isNotNull(), "cluster").when(F.col("first").isNotNull(), "near").alias("matched_by")))
 
 def rollup(log: DataFrame) -> DataFrame:
     """Pending reports by campaign: size, means, first and last sight, and the latest report's words.
@@ -95,10 +119,20 @@ def rollup(log: DataFrame) -> DataFrame:
     last = F.struct("received_at", "id")
     out = pending.groupBy(cid.alias("cluster_id")).agg(
         F.count(F.lit(1)).alias("reports"), F.avg(zero("phishing_prob", 0.5)).alias("avg_phishing"), F.min(zero("trust_score", 50.0)).alias("min_trust"),
-        F.min("received_at").alias("first_seen"), F.max("received_at").alias("last_seen"), F.max_by(F.coalesce("subject", F.lit("(no subject)")), last).alias("subject"))
+        F.min("received_at").alias("first_seen"), F.max("received_at").alias("last_seen"), F.max_by(F.coalesce("subject", F.lit("(no subject)")), last).alias("subject"),
+        F.max_by(F.when(F.coalesce("sender_address", F.lit("")) != "", F.col("sender_address")).otherwise("unknown_sender"), last).alias("sender"),
+        F.max_by(F.coalesce(F.get("reasons", F.lit(0)), F.lit("Boundary uncertainty")), last).alias("top_signal"))
     return out
 
 
+def reports_of(log: DataFrame, cards: DataFrame) -> DataFrame:
+    """(cluster_id, email_id, id, received_at, subject, trust_score, phishing_prob): the reports of the given campaigns,
+    one row each: a campaign may hold any share of the log, so no list is gathered."""
+    pending = log.where("routed_to_review = 1 and analyst_label is null")
+    cid = F.when(F.coalesce("campaign_cluster_id", F.lit("")) != "", F.col("campaign_cluster_id")).otherwise(F.col("email_id"))
+    return pending.withColumn("cluster_id", cid).join(cards.select("cluster_id"), "cluster_id", "left_semi").select("cluster_id", "email_id", "id", "received_at", F.coalesce("subject", F.lit("(no subject)")).alias("subject"), "trust_score", "phishing_prob")
+
+
 def latest(log: DataFrame, key: str = "email_id") -> DataFrame:
     """The latest row of each key, by arrival and id: a combined maximum, not a window over hot keys."""
     cols = [c for c in log.columns if c != key]

@@ -114,3 +114,20 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     e = rows.join(cols, "k").agg(F.coalesce(F.sum(F.col("x").cast("double") * F.col("y")), F.lit(0.0)).alias("e"))
     po, pe = F.col("same") / F.col("n"), F.col("e") / (F.col("n").cast("double") * F.col("n"))
     return t.crossJoin(e).select("n", po.alias("agreement"), F.when(pe == 1, po).otherwise((po - pe) / (1 - pe)).alias("kappa"))  # two one-row tables
+
+
+def auto_rate(df: DataFrame, trust: float = 75.0, threshold: float = 0.5) -> DataFrame:
+    """(n, auto, rate, recall) of the rows whose score is above `trust`: their share, and the recall among them (0
+    where they hold no positive). df: score, y, p."""
+    auto = F.col("score") > trust
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    a = df.agg(F.count(F.lit(1)).alias("n"), n(auto).alias("auto"), n(auto & (F.col("y") == 1)).alias("pos"), n(auto & (F.col("y") == 1) & (F.col("p") >= threshold)).alias("hit"))
+    return a.select("n", "auto", F.when(F.col("n") > 0, F.col("auto") / F.col("n")).otherwise(0.0).alias("rate"), F.when(F.col("pos") > 0, F.col("hit") / F.col("pos")).otherwise(0.0).alias("recall"))
+
+
+def override_count(df: DataFrame, flags: list[str], least: float = 0.7) -> DataFrame:
+    """(n, overridden): rows of a probability above `least` on which any of the flags is set; null flags are not."""
+    hit = F.lit(False)
+    for f in flags:
+        hit = hit | (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) != 0)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((hit & (F.col("p") > least)).cast("bigint")), F.lit(0)).alias("overridden"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .audit import null_safe
+
 SEED = 42
 
 
@@ -27,13 +29,20 @@ def capped(df: DataFrame, key: str, pos: str, cap: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(pos))).where(f"rn <= {int(cap)}").drop("rn")
 
 
-def split_by_order(df: DataFrame, part: list[str], order: list[Column], train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """The rows with `split`: the first floor(n * train) of a part train, the next floor(n * val) val, the rest test."""
-    w = W.partitionBy(*part).orderBy(*order)
-    n = F.count(F.lit(1)).over(W.partitionBy(*part))
-    rn = F.row_number().over(w)
-    n_train, n_val = F.floor(n * train), F.floor(n * val)
-    return df.withColumn("split", F.when(rn <= n_train, "train").when(rn <= n_train + n_val, "val").otherwise("test"))
+def split_by_order(df: DataFrame, part: list[str], bucket: Column, order: list[Column], train: float = 0.7, val: float = 0.15) -> DataFrame:
+    """The rows with `split`: the first floor(n * train) of a part train, the next floor(n * val) val, the rest test.
+
+    `bucket` never falls along the order and cuts a part into many ranges: a row's number is the count of the ranges
+    before its own and its number inside, so no task sorts a whole part.
+    """
+    rows = df.withColumn("__b", bucket)
+    size = rows.groupBy(*part, "__b").agg(F.count(F.lit(1)).alias("__m"))
+    all_ = W.partitionBy(*part)
+    size = size.withColumns({"__n": F.sum("__m").over(all_), "__before": F.coalesce(F.sum("__m").over(all_.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))}).drop("__m")
+    rows = null_safe(rows, size, [*part, "__b"])
+    rn = F.col("__before") + F.row_number().over(W.partitionBy(*part, "__b").orderBy(*order))
+    n_train, n_val = F.floor(F.col("__n") * train), F.floor(F.col("__n") * val)
+    return rows.withColumn("split", F.when(rn <= n_train, "train").when(rn <= n_train + n_val, "val").otherwise("test")).drop("__b", "__n", "__before")
 
 
 ERA_ORDER = {"legacy": 0, "mid": 1, "recent": 2}
@@ -44,14 +53,18 @@ def temporal_split(df: DataFrame) -> DataFrame:
     era = F.coalesce(*[F.when(F.col("era_bucket") == e, k) for e, k in ERA_ORDER.items()], F.lit(1))
     first = F.when(F.col("augmented"), F.lit(0)).otherwise(era)
     second = F.when(F.col("augmented"), shuffled("rec_id")[0]).otherwise(F.lit(""))
-    return split_by_order(df, ["label", "augmented"], [first, second, F.col("rec_id")])
+    lo, hi = df.agg(F.min("rec_id"), F.max("rec_id")).first()
+    step = max(1, ((hi or 0) - (lo or 0)) // 1024 + 1)
+    bucket = F.when(F.col("augmented"), F.conv(F.substring(second, 1, 3), 16, 10).cast("bigint")).otherwise(first * 1025 + F.floor((F.col("rec_id") - F.lit(lo or 0)) / step))
+    return split_by_order(df, ["label", "augmented"], bucket, [first, second, F.col("rec_id")])
 
 
 def stratified_split(df: DataFrame, least: int = 3) -> DataFrame:
     """Strata of label and source under `least` organic rows leave; augmented rows go to train."""
     organic = df.where("not augmented")
     big = organic.groupBy("label", "source").count().where(f"count >= {least}").select("label", "source")
-    parts = split_by_order(organic.join(big, ["label", "source"]), ["label", "source"], shuffled("rec_id"))
+    bucket = F.conv(F.substring(shuffled("rec_id")[0], 1, 3), 16, 10).cast("int")
+    parts = split_by_order(organic.join(big, ["label", "source"]), ["label", "source"], bucket, shuffled("rec_id"))
     return parts.unionByName(df.where("augmented").withColumn("split", F.lit("train")))
 
 

@@ -142,7 +142,13 @@ def _(read):
     return read("emails").select("rec_id", *[c.alias(n) for n, c in features.brand_features().items()], features.missing_count().alias("missing_feature_count"))
 
 
-@register("all_features")
+def _parts() -> str:
+    """The feature rows as one table, from the SQL of their parts."""
+    names = ("sender_features", "url_features", "attachment_features", "text_features", "brand_features")
+    return "select * from " + " join ".join(f"({_queries[n][1]}) as q{i}" + (" using (rec_id)" if i else "") for i, n in enumerate(names))
+
+
+@register("all_features", _parts())
 def _(read):
     return features.features(read("emails"))
 
@@ -167,9 +173,11 @@ def _(read):
     return read("triage_log").groupBy(T.label_of(F.col("analyst_label")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("era_counts", "select case when year(o_orderdate) < 2010 then 'legacy' when year(o_orderdate) < 2018 then 'mid' when o_orderdate is null then 'unknown' else 'recent' end as era, count(*) as n from orders group by 1")
+@register("era_counts", f"with y as (select nullif(regexp_extract({_BODY}, '(?:19|20)[0-9][0-9]'), '')::int as y from emails) select case when y is null then 'unknown' when y < 2010 then 'legacy' when y < 2018 then 'mid' else 'recent' end as era, count(*) as n from y group by 1")
 def _(read):
-    return read("orders").groupBy(T.era_of(F.year("o_orderdate")).alias("era")).agg(F.count(F.lit(1)).alias("n"))
+    """The era of the first year that a body names."""
+    year = F.nullif(F.regexp_extract(T.text("body_text"), "(?:19|20)[0-9][0-9]", 0), F.lit("")).cast("int")
+    return read("emails").groupBy(T.era_of(year).alias("era")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("snippets", rf"with t as (select rec_id, array_to_string(list_slice(regexp_extract_all({_BODY}, '{_TOK}'), 1, 22), ' ') as s from emails) select rec_id, case when length(s) > 140 then substr(s, 1, 140) || '...' else s end as snippet from t")
@@ -264,9 +272,10 @@ _NUMERIC = ["spam_prob", "phishing_prob", "trust_score"]
 
 
 @register("numeric_stats", " union all ".join(
-    f"select '{c}' as column_name, count({c}) as n, round(avg({c}), 4)::double as mean, round(stddev_samp({c}), 4)::double as sd, round(min({c}), 4)::double as least, " + ", ".join(f"round(quantile_cont({c}, {p}), 4)::double as p{int(p * 100)}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + f", round(max({c}), 4)::double as most from triage_log" for c in _NUMERIC))
+    f"select '{c}' as column_name, count({c}) as n, round(avg({c}), 6)::double as mean, round(stddev_samp({c}), 6)::double as sd, round(min({c}), 6)::double as least, " + ", ".join(f"round(quantile_cont({c}, {p}), 4)::double as p{int(p * 100)}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + f", round(max({c}), 6)::double as most from triage_log" for c in _NUMERIC))
 def _(read):
-    return rounded(audit.describe(read("triage_log"), _NUMERIC), 4)  # interpolated points of six-place values fall between places
+    d = audit.describe(read("triage_log"), _NUMERIC)
+    return d.withColumns({c: F.round(c, 4) for c in d.columns if c[0] == "p" and c[1:].isdigit()})  # interpolated points of six-place values fall between places
 
 
 _CATEGORICAL = ["label", "source", "era_bucket", "subtype", "split"]
@@ -307,24 +316,29 @@ def _(read):
     return audit.numeric_drift(e, ["url_count", "body_length"])
 
 
-@register("consistency_checks")
+_BAD = {"attachment_inconsistency": "not has_attachment and attachment_type <> ''", "body_length_mismatch": f"length({_BODY}) <> body_length", "subject_length_mismatch": "length(coalesce(subject, '')) <> subject_length",
+        "digit_ratio_out_of_bounds": "digit_ratio < 0 or digit_ratio > 1", "uppercase_ratio_out_of_bounds": "uppercase_ratio < 0 or uppercase_ratio > 1", "link_density_out_of_bounds": "link_density < 0 or link_density > 1"}
+
+
+@register("consistency_checks", f"with f as ({_parts()}), a as (select f.*, e.subject, e.body_text from f join emails e using (rec_id)) " + " union all ".join(f"select '{n}' as check_name, count(*) filter (where {c}) as bad from a" for n, c in _BAD.items()))
 def _(read):
     e = read("emails")
     return audit.consistency(features.features(e, ("rec_id", "subject", "body_text")))
 
 
-@register("keyword_kappa", """
-with k as (select lower(analyst_label) as a, case when phish > spam then 'phishing' when spam > phish then 'spam' else null end as b from (select analyst_label,
- (contains(t, 'verify'))::int + (contains(t, 'account'))::int + (contains(t, 'password'))::int + (contains(t, 'sign-in'))::int + (contains(t, 'access'))::int as phish, (contains(t, 'offer'))::int + (contains(t, 'only'))::int + (contains(t, 'picked'))::int + (contains(t, 'readers'))::int as spam
+def _hits(phrases: list[str]) -> str:
+    return " + ".join(f"contains(t, '{p}')::int" for p in phrases)
+
+
+@register("keyword_kappa", f"""
+with k as (select lower(analyst_label) as a, case when phish > spam then 'phishing' when spam > phish then 'spam' else null end as b from (select analyst_label, {_hits(audit.PHISHING_PHRASES)} as phish, {_hits(audit.SPAM_PHRASES)} as spam
  from (select analyst_label, lower(coalesce(subject, '') || ' ' || coalesce(body_text, '')) as t from triage_log))),
  p as (select a, b, count(*) as n from k where a is not null and b is not null group by 1, 2), t as (select sum(n)::double as n, sum(case when a = b then n else 0 end)::double as same from p),
  e as (select coalesce(sum(x.n::double * y.n::double), 0) as e from (select a as k, sum(n) as n from p group by 1) x join (select b as k, sum(n) as n from p group by 1) y using (k))
 select n::bigint as n, round(same / n, 6)::double as agreement, round(case when e / (n * n) = 1 then same / n else (same / n - e / (n * n)) / (1 - e / (n * n)) end, 6)::double as kappa from t, e""")
 def _(read):
-    t = F.lower(F.concat(T.text("subject"), F.lit(" "), T.text("body_text")))
-    votes = lambda words: sum((t.contains(w).cast("int") for w in words[1:]), t.contains(words[0]).cast("int"))
-    p, s = votes(["verify", "account", "password", "sign-in", "access"]), votes(["offer", "only", "picked", "readers"])
-    return evaluation.kappa(read("triage_log").select(F.lower("analyst_label").alias("a"), F.when(p > s, "phishing").when(s > p, "spam").alias("b")), "a", "b")
+    vote = F.nullif(audit.phrase_vote("subject", "body_text"), F.lit(""))
+    return evaluation.kappa(read("triage_log").select(F.lower("analyst_label").alias("a"), vote.alias("b")), "a", "b")
 
 
 # ---- evaluation --------------------------------------------------------------------------------------------------
@@ -395,7 +409,7 @@ def _(read):
 @register("campaign_rollup", """select coalesce(nullif(campaign_cluster_id, ''), email_id) as cluster_id, count(*) as reports, round(avg(case when coalesce(phishing_prob, 0) = 0 then 0.5 else phishing_prob end), 6)::double as avg_phishing, round(min(case when coalesce(trust_score, 0) = 0 then 50.0 else trust_score end), 6)::double as min_trust,
  floor(epoch(min(received_at)))::bigint as first_seen, floor(epoch(max(received_at)))::bigint as last_seen, arg_max(coalesce(subject, '(no subject)'), (received_at, id)) as subject from triage_log where routed_to_review = 1 and analyst_label is null group by 1""")
 def _(read):
-    return campaigns.rollup(read("triage_log")).withColumns({c: F.unix_seconds(c) for c in ("first_seen", "last_seen")})
+    return campaigns.rollup(read("triage_log")).drop("sender", "top_signal").withColumns({c: F.unix_seconds(c) for c in ("first_seen", "last_seen")})
 
 
 @register("campaign_queue", """with c as (select coalesce(nullif(campaign_cluster_id, ''), email_id) as cluster_id, count(*) as reports, min(case when coalesce(trust_score, 0) = 0 then 50.0 else trust_score end) as min_trust from triage_log where routed_to_review = 1 and analyst_label is null group by 1)
@@ -544,10 +558,13 @@ def _(read):
     hashed = cache.select(F.row_number().over(_seq()).alias("seq"), "cluster_id", "sender_domain", "normalized_subject", F.conv("simhash", 16, 10).cast("decimal(20,0)").alias("u"), "verdict")
     signed = F.when(F.col("u") >= F.lit(str(2**63)).cast("decimal(20,0)"), F.col("u") - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(F.col("u")).cast("bigint")
     body = campaigns.simhash(log, "id", "body_text")
-    return campaigns.recall_verdicts(mails.join(materialize(body, "log-simhash"), "id"), hashed.withColumn("simhash", signed).drop("u"))
+    return campaigns.recall_verdicts(mails.join(materialize(body, "log-simhash"), "id"), hashed.withColumn("simhash", signed).drop("u")).drop("matched_cluster")
 
 
 def _seq():
     from pyspark.sql import Window
 
     return Window.orderBy("learned_at", "cluster_id")  # the cache: a few entries a campaign
+
+
+from . import io_queries, state_queries  # noqa: E402, F401  they register more queries

@@ -49,9 +49,11 @@ def resolve(df: DataFrame, field: str) -> Column:
     return F.lit("")
 
 
-def read_csv(spark: SparkSession, path: str, source: str = "", default_label: str = "") -> DataFrame:
-    """A CSV export under any of the known headings; quoted line breaks and broken bytes are kept readable."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
+def read_csv(spark: SparkSession, path: str, source: str = "", default_label: str = "", max_rows: int | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV export under any of the known headings; quoted line breaks and broken bytes are kept readable. A file
+    without quoted line breaks is read in splits with multi_line=False. max_rows: no more rows than that."""
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE")
+    raw = raw if max_rows is None else raw.limit(max_rows)
     cols = {f: resolve(raw, f) for f in ALIASES}
     label = T.label_of(cols["label"])
     return complete(raw.select(*[c.alias(f) for f, c in cols.items() if f != "label"], F.when(label == "", F.lit(default_label)).otherwise(label).alias("label"), F.lit(source).alias("source")))
@@ -151,12 +153,31 @@ def read_mail(spark: SparkSession, path: str, source: str = "", label: str = "",
     return complete(parse_files(files).withColumns({"source": F.lit(source), "label": F.lit(label), "era_bucket": F.lit(era)}))
 
 
+def plain_path(c: Column) -> Column:
+    """A path without scheme, doubled slashes and dot steps; `..` takes the step before it away."""
+    parts = F.filter(F.split(F.regexp_replace(c, r"^[A-Za-z]+:(?=/)", ""), "/+"), lambda x: (x != "") & (x != "."))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(walked, "/"))
+
+
 def read_index(spark: SparkSession, index: str, folder: str, source: str = "trec") -> DataFrame:
-    """Messages that an index of `spam|ham path` lines calls spam; lines of another form are skipped, ham is left out."""
+    """Messages that an index of `spam|ham path` lines calls spam; lines of another form are skipped, ham is left out.
+
+    A path counts from the folder, leading dots and slashes taken off, and where no file is there from the index file's
+    own folder; files of one name in different folders are different files.
+    """
     parts = F.split(F.trim(F.col("value")), r"\s+")
-    listed = spark.read.text(index).select(parts.alias("p")).where((F.size("p") == 2) & (F.lower(F.get("p", F.lit(0))) == "spam")).select(F.substring_index(F.get("p", F.lit(1)), "/", -1).alias("name")).distinct()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).withColumn("name", F.substring_index("path", "/", -1)).join(listed, "name", "left_semi")
-    return complete(parse_files(files).withColumns({"source": F.lit(source), "label": F.lit("spam"), "era_bucket": F.lit("legacy")}))
+    listed = spark.read.text(index).select(parts.alias("p")).where((F.size("p") == 2) & (F.get("p", F.lit(0)) == "spam")).select(F.get("p", F.lit(1)).alias("rel")).distinct()
+    home = index.rstrip("/").rsplit("/", 1)[0]
+    wanted = listed.select("rel", F.explode(F.array(F.struct(F.lit(0).alias("rank"), plain_path(F.concat(F.lit(folder + "/"), F.ltrim("rel", F.lit("./")))).alias("at")),
+                                                   F.struct(F.lit(1).alias("rank"), plain_path(F.concat(F.lit(home + "/"), "rel")).alias("at")))).alias("x")).select("rel", "x.*")
+    inside = lambda a, b: f"{a}/".startswith(f"{b.rstrip('/')}/")
+    roots = [folder] if inside(home, folder) else [home] if inside(folder.rstrip("/"), home) else [folder, home]  # each file once
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    there = files.select(plain_path(F.col("path")).alias("at")).distinct()
+    best = wanted.join(there, "at").groupBy("rel").agg(F.min_by("at", "rank").alias("at")).select("at").distinct()
+    found = files.withColumn("at", plain_path(F.col("path"))).join(best, "at", "left_semi")
+    return complete(parse_files(found).withColumns({"source": F.lit(source), "label": F.lit("spam"), "era_bucket": F.lit("legacy")}))
 
 
 def unwrap_forward(df: DataFrame) -> DataFrame:
@@ -178,6 +199,80 @@ def sniff(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("kind", F.when(t.startswith("{"), "json").when(t.rlike(r"(?im)^(?:from|subject):"), "message").otherwise("body"))
 
 
+def parse_pasted(df: DataFrame, col: str) -> DataFrame:
+    """(..., kind, subject, body_text, sender_address) of pasted text: fields of a JSON object, headers and body of a
+    message, or the text itself as the body. JSON that does not parse is a body."""
+    t = T.text(col)
+    obj = F.from_json(F.when(F.ltrim(t).startswith("{"), t), "subject string, body_text string, body string, sender_address string, `from` string, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    df = sniff(df, col).withColumn("__o", obj)
+    good = (F.col("kind") == "json") & F.col("__o").isNotNull() & F.col("__o.__bad").isNull()
+    kind = F.when((F.col("kind") == "json") & ~good, "body").otherwise(F.col("kind"))
+    head = F.get(F.split(F.ltrim(t), r"\r?\n\s*\r?\n", 2), F.lit(0))
+    rest = F.get(F.split(F.ltrim(t), r"\r?\n\s*\r?\n", 2), F.lit(1))
+    field = lambda n: F.trim(F.regexp_extract(head, rf"(?im)^{n}:[ \t]*(.*?)\r?$", 1))
+    pick = lambda j, m, b: F.when(kind == "json", F.coalesce(*[F.col(f"__o.{x}") for x in j], F.lit(""))).when(kind == "message", m).otherwise(b)
+    return df.withColumns({"subject": pick(["subject"], field("Subject"), F.lit("")), "body_text": pick(["body_text", "body"], F.coalesce(rest, F.lit("")), t), "sender_address": pick(["sender_address", "from"], field("From"), F.lit("")), "kind": kind}).drop("__o")
+
+
+def requests(df: DataFrame, feature_names: list[str]) -> DataFrame:
+    """Requests to records: defaults for absent fields, the name taken out of the address where none is given, URLs from
+    the body where none are given, and `explicit`, a map of the features that the caller set, which override computed ones."""
+    have = set(df.columns)
+    col = lambda *ns: F.coalesce(*[F.col(n).cast("string") for n in ns if n in have], F.lit(""))
+    sender, shown = col("sender_address", "from_addr"), col("sender_display_name")
+    split = (shown == "") & sender.rlike(r'^"?([^"<]+)"?\s*<([^>]+)>')
+    part = lambda k: F.trim(F.regexp_extract(sender, r'^"?([^"<]+)"?\s*<([^>]+)>', k))
+    given = [n for n in feature_names if n in have]
+    explicit = F.map_filter(F.create_map(*[x for n in given for x in (F.lit(n), F.col(n).cast("double"))]), lambda k, v: v.isNotNull()) if given else F.create_map().cast("map<string,double>")
+    rows = df.withColumns({"__s": F.when(split, part(2)).otherwise(sender), "__n": F.when(split, part(1)).otherwise(shown), "explicit": explicit})
+    base = rows.drop(*[c for c in ("sender_address", "sender_display_name") if c in have]).withColumnsRenamed({"__s": "sender_address", "__n": "sender_display_name"})
+    urls = F.coalesce(F.col("urls"), F.array().cast("array<string>")) if "urls" in have else F.array().cast("array<string>")
+    return base.withColumns({"subject": col("subject"), "body_text": col("body_text"), "reply_to": col("reply_to"), "urls": F.when(F.size(urls) > 0, urls).otherwise(T.urls_of(col("body_text")))})
+
+
+def overridden(df: DataFrame, names: list[str]) -> DataFrame:
+    """Computed features, replaced where `explicit` names them."""
+    return df.withColumns({n: F.coalesce(F.try_element_at("explicit", F.lit(n)), F.col(n).cast("double")) for n in names if n in df.columns})
+
+
+def concatenated(tables: list[DataFrame]) -> DataFrame:
+    """All rows of several record tables, columns by name, absent ones null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def lookup_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of a lookup file, trimmed, without blank and comment ones."""
+    return spark.read.text(path).where(~F.col("value").startswith("#")).select(F.trim("value").alias("value")).where("value <> ''")
+
+
+def lookup_values(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """The lines as a list for expressions; an error beyond `most` of them."""
+    rows = lookup_lines(spark, path).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{path}: more than {most} values, join with lookup_lines instead")
+    return [r["value"] for r in rows]
+
+
+def catalogue(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """(name, path, available, train, val, test): lines of the split files of each folder; absent ones count 0, and a
+    folder is available if all three are there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = lambda x: p(x).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p(x))
+    out = None
+    for name, folder in folders.items():
+        files = {s: f"{folder.rstrip('/')}/{s}.jsonl" for s in ("train", "val", "test")}
+        there = {s: fs(f) for s, f in files.items()}
+        row = spark.range(1).select(F.lit(name).alias("name"), F.lit(folder).alias("path"), F.lit(all(there.values())).alias("available"))
+        for s, f in files.items():
+            n = spark.read.text(f).agg(F.count(F.lit(1)).alias(s)) if there[s] else spark.range(1).select(F.lit(0).cast("bigint").alias(s))
+            row = row.crossJoin(n)  # one-row tables
+        out = row if out is None else out.union(row)
+    return out
+
+
 def profile_json(spark: SparkSession, path: str) -> DataFrame:
     """(path, type, n) of every field of JSON lines: arrays as name[], all observed types kept side by side."""
     import json

@@ -73,3 +73,28 @@ def prometheus(metrics: DataFrame) -> DataFrame:
     """(value): `name{label="x"} n` lines of rows (name, label, n)."""
     head = F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.col("name"), F.lit('{label="'), F.col("label"), F.lit('"}'))).otherwise(F.col("name"))
     return metrics.select(F.concat(head, F.lit(" "), F.col("n").cast("string")).alias("value"))
+
+
+# Columns of the exported audit log.
+AUDIT_COLUMNS = ["email_id", "received_at", "model_version", "subject", "predicted_label", "phishing_prob", "spam_prob", "trust_score", "routed_to_review", "analyst_label", "analyst_id", "reviewed_at", "agreement", "notes"]
+
+
+def audit_export(log: DataFrame, most: int = 10_000) -> DataFrame:
+    """The newest reports with the exported columns; the cap is the export's own."""
+    return log.orderBy(F.desc("received_at"), F.desc("id")).limit(most).select(*AUDIT_COLUMNS)
+
+
+def event_lines(df: DataFrame) -> DataFrame:
+    """(value): server-sent events, one `data:` line of JSON for each row."""
+    return df.select(F.concat(F.lit("data: "), F.to_json(F.struct(*df.columns)), F.lit("\n")).alias("value"))
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """JSON lines below those that are there."""
+    df.write.mode("append").json(path)
+
+
+def safe_name(c: Column, other: Column) -> Column:
+    """A file name of the first 30 characters of a text; `other` where nothing is left of it."""
+    s = F.btrim(F.regexp_replace(F.substring(F.coalesce(c, F.lit("")), 1, 30), "[^a-zA-Z0-9_-]", "_"), F.lit("_"))
+    return F.when(s == "", other).otherwise(s)

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a throw-away one only where none is configured (tests)."""
+    """The session's checkpoint folder; where none is configured a throw-away one, on a local master alone (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java_dir.get() if java_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tamarack-")
         atexit.register(shutil.rmtree, found, True)
         found = f"file://{found}"
@@ -35,6 +37,50 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class BatchTable:
+    """A table on disk that grows by whole batches: each is written aside and renamed into place, so readers see all
+    of it or nothing, a crash leaves no part behind, and a batch that is there already is not written again.
+
+    A batch may hold several parts (tables) that become visible together.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._p = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[str]:
+        """Names of the batches in place, in order of their names."""
+        if not self._fs.exists(self._p(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._p(self.path))]
+        return sorted(n[6:] for n in names if n.startswith("batch-"))
+
+    def append(self, batch: str, **parts: DataFrame) -> bool:
+        """Writes the batch; False where it is there already."""
+        target = self._p(f"{self.path}/batch-{batch}")
+        if self._fs.exists(target):
+            return False
+        aside = f"{self.path}/aside-{uuid.uuid4().hex}"
+        for name, df in parts.items():
+            df.write.parquet(f"{aside}/{name}")
+        return bool(self._fs.rename(self._p(aside), target))
+
+    def read(self, part: str, schema: str) -> DataFrame:
+        """All batches' rows of a part; no row where there is none yet."""
+        paths = [f"{self.path}/batch-{b}/{part}" for b in self.batches()]
+        paths = [p for p in paths if self._fs.exists(self._p(p))]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def clear(self) -> None:
+        self._fs.delete(self._p(self.path), True)
+
+
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/tamarack/{label}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition only when the scan has far fewer splits than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
