@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as T
+from ..storage import spread
 
 PUNCTUATION = r"!-/:-@\[-`{-~"
 DIGITS = r"\p{Nd}²³¹⁰⁴-⁹₀-₉"
@@ -48,9 +49,18 @@ def _squats(h: Column) -> Column:
     return out
 
 
-def url_features(urls: Column | None = None) -> dict[str, Column]:
-    urls = F.coalesce(urls if urls is not None else F.col("urls"), F.array().cast("array<string>"))
-    hosts = F.array_sort(F.array_distinct(F.filter(F.transform(urls, T.host), lambda h: h != "")))
+def urls_column() -> Column:
+    return F.coalesce(F.col("urls"), F.array().cast("array<string>"))
+
+
+def hosts_of(urls: Column) -> Column:
+    """The distinct hosts of URLs, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(urls, T.host), lambda h: h != "")))
+
+
+def url_features(hosts: Column | None = None) -> dict[str, Column]:
+    urls = urls_column()
+    hosts = hosts_of(urls) if hosts is None else hosts
     short = lambda h: h.isin(L.SHORTENERS) | F.rlike(h, F.lit("(?:" + "|".join(r"\." + s.replace(".", r"\.") for s in L.SHORTENERS) + ")$"))
     tld = lambda h: F.rlike(h, F.lit("(?:" + "|".join(t.replace(".", r"\.") for t in L.SUSPICIOUS_TLDS) + ")$"))
     total = F.aggregate(F.transform(hosts, _entropy), F.lit(0.0), lambda a, x: a + x)
@@ -99,12 +109,21 @@ def text_features() -> dict[str, Column]:
     }
 
 
-def brand_features() -> dict[str, Column]:
-    body = F.lower(F.concat(T.text("subject"), F.lit(" "), T.text("body_text")))
-    d = T.domain(F.col("sender_address"))
+def low_text() -> Column:
+    return F.lower(F.concat(T.text("subject"), F.lit(" "), T.text("body_text")))
+
+
+def first_brand(body: Column, d: Column) -> Column:
+    """The first listed brand that a lower-cased text names or whose domain the sender's holds; null without one."""
     first = F.lit(None).cast("string")
     for b in reversed(L.BRAND_DOMAINS):
         first = F.when(body.contains(b.split(".")[0]) | d.contains(b), F.lit(b)).otherwise(first)
+    return first
+
+
+def brand_features(first: Column | None = None, d: Column | None = None) -> dict[str, Column]:
+    d = T.domain(F.col("sender_address")) if d is None else d
+    first = first_brand(low_text(), d) if first is None else first
     return {"brand_mention": first.isNotNull(), "sender_brand_mismatch": F.coalesce(~d.contains(first) & ~first.contains(d), F.lit(False))}
 
 
@@ -113,9 +132,12 @@ def missing_count() -> Column:
 
 
 def features(emails: DataFrame, keep: tuple[str, ...] = ("rec_id",)) -> DataFrame:
-    """The 21 features, the attachment types and the count of missing ones."""
-    cols = sender_features() | url_features() | attachment_features() | text_features() | brand_features() | {"missing_feature_count": missing_count()}
-    return emails.select(*keep, *[c.alias(n) for n, c in cols.items()])
+    """The 21 features, the attachment types and the count of missing ones. What several of them read (hosts, the
+    lower-cased text, the sender's domain, the brand) is computed once, in projections before."""
+    base = spread(emails).withColumns({"__hosts": hosts_of(urls_column()), "__low": low_text(), "__domain": T.domain(F.col("sender_address"))})
+    base = base.withColumn("__brand", first_brand(F.col("__low"), F.col("__domain")))
+    cols = sender_features() | url_features(F.col("__hosts")) | attachment_features() | text_features() | brand_features(F.col("__brand"), F.col("__domain")) | {"missing_feature_count": missing_count()}
+    return base.select(*keep, *[c.alias(n) for n, c in cols.items()])
 
 
 def vector_columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:

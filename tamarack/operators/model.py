@@ -4,32 +4,56 @@ from __future__ import annotations
 
 import json
 import math
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import lookups as L
 from ..functions import text as T
+from ..sources import writers
+from ..storage import materialize
+from .features import vector_columns
 
-# Accented letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> tuple[str, str]:
+    """Letters whose compatibility decomposition is one other character once its marks are off, and that character."""
+    pairs = []
+    for o in (*range(0xA0, 0x2190), *range(0xFF10, 0xFF5B), *range(0x1D400, 0x1D800)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(o)) if not unicodedata.combining(c))
+        if len(bare) == 1 and bare != chr(o) and not bare.isspace():
+            pairs.append((chr(o), bare))
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+
+
+ACCENTED, PLAIN = _folds()
+
+
+def fold(c: Column) -> Column:
+    """Lower case, accents off in every script, loose marks deleted."""
+    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[\u0300-\u036f]", "")
 
 
 class Grams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Words of two letters or more, accents folded, and pairs of them."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        low = F.translate(F.lower(T.text(self.getInputCol())), ACCENTED, PLAIN)
-        words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-        pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-        return df.withColumn(self.getOutputCol(), F.concat(words, pairs))
+        words = F.regexp_extract_all(fold(T.text(self.getInputCol())), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+        # the words are bound once: an expression inside a lambda would be computed again for each of its elements
+        both = lambda w: F.concat(w, F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y)))
+        return df.withColumn(self.getOutputCol(), F.transform(F.array(words), both)[0])
 
 
 def grams(input_col: str, output_col: str) -> Grams:
@@ -37,30 +61,91 @@ def grams(input_col: str, output_col: str) -> Grams:
     return g._set(inputCol=input_col, outputCol=output_col)
 
 
+def term_weights(rows: DataFrame, grams_col: str, n: int, min_df: int = 2) -> DataFrame:
+    """(gram, df, idf) of the grams that min_df rows hold: smooth idf ln((1 + n) / (1 + df)) + 1 over n rows."""
+    df = rows.select(F.explode(F.array_distinct(grams_col)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    return df.withColumn("idf", F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+
+
 def tfidf(df: DataFrame, text_col: str, size: int = 30_000, min_df: int = 2):
-    """A fitted vectoriser of grams and its smooth idf weights ln((1 + n) / (1 + df)) + 1, n and df over all rows."""
+    """A fitted vectoriser of grams and its smooth idf weights, n and df over all rows."""
     model = Pipeline(stages=[grams(text_col, "__grams"), CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=size, minDF=min_df)]).fit(df)
-    tf = model.transform(df)
-    n = df.count()
-    seen = tf.select(F.explode(F.array_distinct("__grams")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     vocab = model.stages[-1].vocabulary
-    wanted = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(vocab)], "g string, i int")
+    wanted = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(vocab)], "gram string, i int")
+    found = term_weights(model.stages[0].transform(df), "__grams", df.count(), 1)
     weights = [1.0] * len(vocab)
-    for r in seen.join(F.broadcast(wanted), "g").select("i", "df").collect():  # one row a vocabulary entry, at most `size`
-        weights[r["i"]] = math.log((1 + n) / (1 + r["df"])) + 1
+    for r in found.join(F.broadcast(wanted), "gram").select("i", "idf").collect():  # one row a vocabulary entry, at most `size`
+        weights[r["i"]] = r["idf"]
     return model, weights
 
 
-def weighted(model: PipelineModel, weights: list[float], df: DataFrame, out: str = "tfidf") -> DataFrame:
-    """(1 + ln tf) * idf, scaled to length one, as a sparse vector."""
-    from pyspark.ml.feature import ElementwiseProduct, Normalizer
-    from pyspark.ml.linalg import Vectors
+def _as_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches  # a struct of a vector's parts is how a vector travels
+
 
-    tf = model.transform(df)
-    log = F.udf(lambda v: type(v)(v.size, v.indices, [1.0 + math.log(x) for x in v.values]), tf.schema["__tf"].dataType)  # sparse vectors have no built-in map
-    tf = tf.withColumn("__log", log("__tf"))
+def weighted(model: PipelineModel, weights: list[float], df: DataFrame, out: str = "tfidf") -> DataFrame:
+    """(1 + ln tf) * idf, scaled to length one, as a sparse vector. The logarithms are taken inside the JVM on the
+    vector's parts; Python only hands whole batches back under the vector type."""
+    tf = model.transform(df).drop("__grams")
+    v = F.unwrap_udt(F.col("__tf"))
+    log = F.struct(v["type"].alias("type"), v["size"].alias("size"), v["indices"].alias("indices"), F.transform(v["values"], lambda x: 1.0 + F.ln(x)).alias("values"))
+    keep = [f for f in tf.schema.fields if f.name != "__tf"]
+    tf = tf.select(*[f.name for f in keep], log.alias("__log")).mapInArrow(_as_vectors, StructType([*keep, StructField("__log", VectorUDT())]))
     tf = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="__log", outputCol="__w").transform(tf)
-    return Normalizer(p=2.0, inputCol="__w", outputCol=out).transform(tf).drop("__grams", "__tf", "__log", "__w")
+    return Normalizer(p=2.0, inputCol="__w", outputCol=out).transform(tf).drop("__log", "__w")
+
+
+@dataclass
+class TextModel:
+    """A fitted classifier over TF-IDF and the numeric columns: scores any table that has both."""
+
+    vectoriser: PipelineModel
+    weights: list[float]
+    names: list[str]
+    model: PipelineModel
+
+    def inputs(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        return weighted(self.vectoriser, self.weights, vector_columns(df.withColumn(text_col, T.text(text_col)), self.names).withColumn("__t", F.col(text_col)))
+
+    def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """The table with p, the probability of class 1."""
+        return probability(self.model.transform(self.inputs(df, text_col))).drop("__t", "__x", "__n", "__s", "tfidf", "rawPrediction", "probability", "prediction")
+
+    def trees(self) -> int:
+        """Trees kept after early stopping."""
+        return self.model.stages[-1].getNumTrees
+
+    def losses(self, df: DataFrame, text_col: str = "text") -> list[float]:
+        """Loss after each tree."""
+        inner = PipelineModel(self.model.stages[:-1]).transform(self.inputs(df, text_col))
+        return list(self.model.stages[-1].evaluateEachIteration(inner))
+
+
+def fit_text(train: DataFrame, text_col: str = "text", names: list[str] | None = None, trees: bool = False, valid: str | None = None, size: int = 30_000, c: float = 1.0, rounds: int = 60) -> TextModel:
+    """train: text, numeric columns and y (0.0 or 1.0) to a classifier: logistic regression over TF-IDF and scaled
+    columns, or boosted trees, which with `valid` (a boolean column: validation rows) stop where these no longer gain."""
+    names = names or L.FEATURE_VECTOR
+    learn = train if valid is None else train.where(~F.col(valid))
+    vec, weights = tfidf(materialize(learn.select(T.text(text_col).alias("__t")), "model-texts"), "__t", size)
+    out = TextModel(vec, weights, names, None)
+    rows = materialize(out.inputs(train.select(text_col, "y", *([valid] if valid else []), *[c for c in names if c in train.columns]), text_col), "model-inputs")  # fitting reads them many times
+    head = [VectorAssembler(inputCols=names, outputCol="__n")]
+    if trees:
+        gbt = GBTClassifier(featuresCol="__x", labelCol="y", maxDepth=5, maxIter=rounds, stepSize=0.1, seed=42, **({"validationIndicatorCol": valid} if valid else {}))
+        stages = [*head, VectorAssembler(inputCols=["tfidf", "__n"], outputCol="__x"), gbt]
+    else:
+        rows = rows if valid is None else rows.where(~F.col(valid))
+        stages = [*head, StandardScaler(inputCol="__n", outputCol="__s", withMean=False), VectorAssembler(inputCols=["tfidf", "__s"], outputCol="__x"),
+                  LogisticRegression(featuresCol="__x", labelCol="y", regParam=1.0 / (c * max(learn.count(), 1)), standardization=False)]
+    out.model = Pipeline(stages=stages).fit(rows)
+    return out
+
+
+def top_coefficients(model: TextModel, k: int = 20) -> list[tuple[str, float]]:
+    """The k largest and k smallest coefficients of a logistic model with the grams or columns they belong to."""
+    names = [*model.vectoriser.stages[-1].vocabulary, *model.names]
+    ranked = sorted(zip(names, map(float, model.model.stages[-1].coefficients)), key=lambda x: (-x[1], x[0]))
+    return ranked[:k] + ranked[-k:] if len(ranked) > 2 * k else ranked
 
 
 def numeric_pipeline(names: list[str] | None = None, trees: bool = False, c: float = 1.0, n: int = 1) -> Pipeline:
@@ -131,10 +216,20 @@ class Registry:
 
     def promote(self, version: str) -> bool:
         new, old = self.manifest(version), self.current()
-        if old and new.get("recall", 0) < old.get("recall", 0):
-            return False
-        self._put("current", new)
-        return True
+        good = not old or new.get("recall", 0) >= old.get("recall", 0)
+        if good:
+            self._put("current", new)
+        event = self.spark.createDataFrame([(version, float(new.get("recall", 0)), good)], "version string, recall double, promoted boolean")
+        writers.append_log(event.withColumn("at", F.current_timestamp()), f"{self.path}/promotions")
+        return good
+
+    def record(self, version: str, measures: dict) -> None:
+        """The measures of a version whose model is kept elsewhere."""
+        self._put(f"{version}/manifest", measures | {"version": version})
+
+    def promotions(self) -> DataFrame:
+        """(version, recall, promoted, at) of every attempt; the log is only ever appended to."""
+        return self.spark.read.schema("version string, recall double, promoted boolean, at timestamp").json(f"{self.path}/promotions")
 
     def _put(self, name: str, value: dict) -> None:
         self.spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}")

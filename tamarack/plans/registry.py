@@ -11,6 +11,7 @@ from pyspark.sql import types as X
 from ..functions import lookups as L
 from ..functions import text as T
 from ..operators import audit, campaigns, dedup, evaluation, features, feedback, sampling
+from ..storage import spread
 
 Query = Callable[[Callable[[str], DataFrame]], DataFrame]
 _queries: dict[str, tuple[Query, str | None]] = {}
@@ -85,7 +86,7 @@ select rec_id, length(coalesce(subject, '')) as subject_length, length({_BODY})
  round(case when len(regexp_extract_all({_BODY}, '{_TOK}')) > 0 then len(regexp_extract_all({_BODY}, 'https?://')) / len(regexp_extract_all({_BODY}, '{_TOK}')) else 0.0 end, 6)::double as link_density
 from emails""")
 def _(read):
-    return read("emails").select("rec_id", *[c.alias(n) for n, c in features.text_features().items()])
+    return spread(read("emails")).select("rec_id", *[c.alias(n) for n, c in features.text_features().items()])
 
 
 @register("sender_features", rf"""
@@ -94,7 +95,7 @@ with s as (select rec_id, {_dom('sender_address')} as d, {_dom('reply_to')} as r
  t as (select *, case when len(w) > 0 then trim(w[1], '.,<>') else '' end as shown from s)
 select rec_id, shown <> '' and shown <> d as display_from_mismatch, r <> '' and rd <> '' and rd <> d as reply_to_mismatch, d in ({_list(L.FREE_MAIL)}) as free_email_sender from t""")
 def _(read):
-    return read("emails").select("rec_id", *[c.alias(n) for n, c in features.sender_features().items()])
+    return spread(read("emails")).select("rec_id", *[c.alias(n) for n, c in features.sender_features().items()])
 
 
 _brand_values = ", ".join(f"({i}, '{b}')" for i, b in enumerate(L.BRAND_DOMAINS))
@@ -117,7 +118,7 @@ with e as (select rec_id, coalesce(urls, []) as urls from emails),
 select e.rec_id, len(e.urls) as url_count, coalesce(domain_count, 0) as domain_count, coalesce(short, false) as shortened_url_present, coalesce(tld, false) as suspicious_tld_present,
  coalesce(ip, false) as ip_literal_url, round(coalesce(entropy, 0.0), 6)::double as url_entropy, coalesce(squat, false) as typosquatting_detected from e left join agg using (rec_id)""")
 def _(read):
-    return read("emails").select("rec_id", *[c.alias(n) for n, c in features.url_features().items()])
+    return spread(read("emails")).select("rec_id", *[c.alias(n) for n, c in features.url_features().items()])
 
 
 @register("attachment_features", f"""
@@ -128,7 +129,7 @@ with a as (select rec_id, unnest(attachments) as a from emails),
  g as (select rec_id, string_agg(distinct kind, ',' order by kind) as kinds, bool_or(kind = 'executable') as x, bool_or(kind = 'macro') as m from t group by 1)
 select rec_id, kinds is not null as has_attachment, coalesce(kinds, '') as attachment_type, coalesce(x, false) as executable_detected, coalesce(m, false) as macro_detected from emails left join g using (rec_id)""")
 def _(read):
-    return read("emails").select("rec_id", *[c.alias(n) for n, c in features.attachment_features().items()])
+    return spread(read("emails")).select("rec_id", *[c.alias(n) for n, c in features.attachment_features().items()])
 
 
 _first_brand = "case " + " ".join(f"when contains(b, '{x.split('.')[0]}') or contains(d, '{x}') then '{x}'" for x in L.BRAND_DOMAINS) + " end"
@@ -139,7 +140,7 @@ with e as (select rec_id, lower(coalesce(subject, '') || ' ' || {_BODY}) as b, {
 select rec_id, brand is not null as brand_mention, coalesce(not contains(d, brand) and not contains(brand, d), false) as sender_brand_mismatch,
  (case when coalesce(sender_address, '') = '' then 3 else 0 end + case when coalesce(body_text, '') = '' then 4 else 0 end)::bigint as missing_feature_count from x""")
 def _(read):
-    return read("emails").select("rec_id", *[c.alias(n) for n, c in features.brand_features().items()], features.missing_count().alias("missing_feature_count"))
+    return spread(read("emails")).select("rec_id", *[c.alias(n) for n, c in features.brand_features().items()], features.missing_count().alias("missing_feature_count"))
 
 
 def _parts() -> str:
@@ -567,4 +568,4 @@ def _seq():
     return Window.orderBy("learned_at", "cluster_id")  # the cache: a few entries a campaign
 
 
-from . import io_queries, state_queries  # noqa: E402, F401  they register more queries
+from . import io_queries, model_queries, state_queries  # noqa: E402, F401  they register more queries

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import readers
+from ..storage import BatchTable, materialize  # noqa: F401
 
 
 def mails(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +46,28 @@ def recall(stream: DataFrame, cache_path: str, sink: Callable[[DataFrame, int],
     return stream.writeStream.foreachBatch(each)
 
 
+def upsert(stream: DataFrame, book, cluster=None):
+    """Saves each micro-batch of reports into a ledger under its number: a replayed one changes nothing. Returns the writer."""
+    return stream.writeStream.foreachBatch(lambda batch, n: book.save(f"{n:012d}", batch, cluster) and None)
+
+
+def recall_into(stream: DataFrame, memory, book):
+    """Each micro-batch of mails (see campaigns.recall_verdicts) with the verdicts known by then, kept as a batch of the
+    table `book`; the matches are counted under the batch's number. Returns the writer."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        found = materialize(memory.lookup(batch), "recalled")
+        book.append(f"{n:012d}", found=found)
+        memory.hit(f"{n:012d}", found.select(F.col("matched_cluster").alias("cluster_id")))
+
+    return stream.writeStream.foreachBatch(each)
+
+
+def finish(writer, checkpoint: str) -> None:
+    """Runs a writer over all there is by now."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """All there is by now into a memory table (tests, small results)."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

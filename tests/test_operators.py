@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tamarack.functions import minhash
 from tamarack.functions import text as T
 from tamarack.graph import connected_components
-from tamarack.operators import campaigns, dedup, evaluation, features, feedback, model, sampling
+from tamarack.operators import audit, campaigns, dedup, evaluation, features, feedback, ledger, model, sampling
 from tamarack.plans import registry
 
 MAIL = "rec_id bigint, subject string, body_text string, sender_display_name string, sender_address string, reply_to string, urls array<string>, attachments array<struct<filename:string,mime_type:string>>"
@@ -193,6 +193,51 @@ def test_feedback_cases(spark):
     assert feedback.traffic(log.limit(0)).first()["avg_trust"] == 100.0
 
 
+def test_text_model_learns_and_stops_early(spark):
+    r = random.Random(5)
+    rows = [(f"{'Vérify your àccount' if y else 'buy new shoes'} word{r.randrange(5)} filler{r.randrange(9)}", float(y), r.random(), k % 4 == 0) for k in range(120) for y in (0, 1)]
+    df = spark.createDataFrame(rows, "text string, y double, url_count double, valid boolean")
+    m = model.fit_text(df.where("not valid"), names=["url_count"], size=300)
+    assert evaluation.auc(m.score(df.where("valid")).select(F.col("y").cast("int").alias("y"), "p")).first()["roc_auc"] > 0.95
+    top = model.top_coefficients(m, 5)
+    assert len(top) == 10 and any("account" in n or "verify" in n for n, _ in top[:5]) and top[0][1] > 0 > top[-1][1]
+    trees = model.fit_text(df, names=["url_count"], trees=True, valid="valid", size=100, rounds=8)
+    assert 1 <= trees.trees() <= 8 and len(trees.losses(df.where("valid"))) == trees.trees()
+    assert m.score(spark.createDataFrame([(None, 0.0, None, True), ("", 1.0, 1.0, True)], "text string, y double, url_count double, valid boolean")).where("p is null").count() == 0
+
+
+def test_accents_fold_in_every_script(spark):
+    texts = ["Příliš žluťoučký kůň", "Zażółć", "Ελληνικά ΰ", "ｆｕｌｌ 𝖬𝖺𝖾", "e\u0301t", None, "straße"]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(model.fold(T.text("t")).alias("x")).collect()]
+    assert got == ["prilis zlutoucky kun", "zazołc", "ελληνικα υ", "full Mae", "et", "", "straße"]
+
+
+def test_linear_quantiles(spark):
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=501), r.integers(0, 4, 200).astype(float)
+    rows = [("a", float(x)) for x in a] + [(None, float(x)) for x in b] + [("c", 5.0), ("d", None)]
+    got = {x["g"]: x["points"] for x in audit.linear_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], (0.0, 0.01, 0.5, 0.99, 1.0)).collect()}
+    assert set(got) == {"a", None, "c"} and got["c"] == [5.0] * 5
+    for k, x in (("a", a), (None, b)):
+        assert got[k] == pytest.approx(np.percentile(x, [0, 1, 50, 99, 100]))
+
+
+def test_gates_of_an_empty_table(spark):
+    schema = "label string, source string, augmented boolean, url_count bigint, body_length bigint, shortened_url_present boolean, suspicious_tld_present boolean, display_from_mismatch boolean, reply_to_mismatch boolean, free_email_sender boolean"
+    got = {x["gate"]: (x["value"], x["passed"]) for x in audit.gates(spark.createDataFrame([], schema)).collect()}
+    assert got["synthetic_ratio"] == (1.0, False) and got["structural_coverage"] == (0.0, False) and got["overall"] == (0.0, False)
+    rows = [("spam", "a", False, 0, 5, False, False, False, False, False)] * 2 + [("phishing", s, None, 1, None, None, None, None, None, None) for s in "abc"]
+    got = {x["gate"]: x["passed"] for x in audit.gates(spark.createDataFrame(rows, schema), spam=2, phishing=3).collect()}
+    assert all(got.values()) and len(got) == 6
+
+
+def test_retrain_set(spark):
+    train = spark.createDataFrame([("x", "spam", 1.0), ("y", "", 2.0)], "body_text string, label string, url_count double")
+    judged = spark.createDataFrame([("z", "phishing", {"url_count": 3.0}, 1), ("q", "phishing", {}, 2), ("w", "other", {"a": 1.0}, 3), (None, "spam", {"a": 1.0}, 4), ("n", "spam", None, 5)], "body_text string, label string, features map<string,double>, extra int")
+    got = ledger.retrain_set(train, judged, columns=["url_count"])
+    assert got.columns == train.columns and sorted(map(tuple, got.collect()), key=str) == sorted([("x", "spam", 1.0), ("z", "phishing", 3.0), (None, "spam", 0.0)], key=str)
+
+
 def test_model_and_calibration(spark, tmp_path):
     r = random.Random(2)
     rows = [(float(y), f"{'verify your account' if y else 'buy new shoes'} word{r.randrange(5)}", float(y) + r.random() * 0.4, r.random()) for y in (0, 1) for _ in range(60)]
@@ -210,3 +255,4 @@ def test_model_and_calibration(spark, tmp_path):
     assert reg.promote("v1") and reg.current()["version"] == "v1"
     reg.save("v2", fitted, {"recall": 0.5})
     assert not reg.promote("v2") and reg.load() is not None
+    assert sorted((r["version"], r["promoted"]) for r in reg.promotions().collect()) == [("v1", True), ("v2", False)]
