@@ -209,6 +209,16 @@ def _near(read) -> DataFrame:
     return dedup.near_duplicate_pairs(read("emails"), "rec_id", F.concat(T.text("subject"), F.lit(" "), T.text("body_text")))
 
 
+@register("near_character_pairs", r"""
+with t as (select rec_id, regexp_replace(lower(coalesce(subject, '') || ' ' || coalesce(body_text, '')), '[\s\pZ\x0b\x1c-\x1f\x{85}]+', ' ', 'g') as t from emails),
+ g as (select rec_id, list_sort(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i::int, 3)))) as g from t where length(t) >= 3),
+ c as (select min(rec_id) as id, g from g group by g), u as (select id, unnest(g) as x, len(g) as n from c),
+ p as (select a.id as a, b.id as b, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb from u a join u b on a.x = b.x and a.id < b.id and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) group by 1, 2)
+select a, b from p where k >= 0.85 * (na + nb - k) union all select c.id, g.rec_id from g join c using (g) where g.rec_id <> c.id""")
+def _(read):
+    return _near(read)
+
+
 @register("greedy_near_dedup")
 def _(read):
     ids = read("emails").select(F.col("rec_id").alias("id"), T.source_rank(F.col("source")).alias("rank"))

@@ -37,6 +37,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Materialised tables of one operation, deleted together once what it gives is written elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/tamarack/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """See materialize."""
+        self.n += 1
+        path = f"{self.path}/{self.n:03d}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class BatchTable:
     """A table on disk that grows by whole batches: each is written aside and renamed into place, so readers see all
     of it or nothing, a crash leaves no part behind, and a batch that is there already is not written again.
@@ -66,9 +84,9 @@ class BatchTable:
             df.write.parquet(f"{aside}/{name}")
         return bool(self._fs.rename(self._p(aside), target))
 
-    def read(self, part: str, schema: str) -> DataFrame:
-        """All batches' rows of a part; no row where there is none yet."""
-        paths = [f"{self.path}/batch-{b}/{part}" for b in self.batches()]
+    def read(self, part: str, schema: str, batches: list[str] | None = None) -> DataFrame:
+        """The rows of a part of all batches, or of the given ones; no row where there is none yet."""
+        paths = [f"{self.path}/batch-{b}/{part}" for b in (self.batches() if batches is None else batches)]
         paths = [p for p in paths if self._fs.exists(self._p(p))]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
