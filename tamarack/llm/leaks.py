@@ -3,13 +3,14 @@
 Pigeonhole edit matching over words. Every window of a passage is cut into error-budget-plus-one
 pieces: a stretch of text within the budget must hold one of them unchanged. One Aho-Corasick pass over
 a document's normalised words finds piece hits; around each, Myers' bit-parallel recurrence gives the
-least number of word edits that turn the window into a stretch of the document.
+least number of word edits that turn the window into a stretch of the document; that number alone decides.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -101,16 +102,18 @@ class Searcher:
                 if key in tried:
                     continue
                 tried.add(key)
-                pattern = self.words[item][start : start + length]
-                if begin >= 0 and ws[begin : begin + length] == pattern:
-                    found[item] = 0
-                    continue
-                d = distance(pattern, ws[max(0, begin - self.budget) : begin + length + self.budget])
+                d = distance(self.words[item][start : start + length], ws[max(0, begin - self.budget) : begin + length + self.budget])
                 if d <= self.budget and d < found.get(item, self.budget + 1):
                     found[item] = d
         return found
 
 
+@lru_cache(maxsize=2)
+def searcher(window: int, budget: int, items: tuple[tuple[int, str], ...]) -> Searcher:
+    """One searcher a Python worker and block of passages."""
+    return Searcher(list(items), window, budget)
+
+
 def leaks(documents: DataFrame, items: DataFrame, window: int = 12, budget: int = 1) -> DataFrame:
     """(doc_id, item_id, edits) of each document that holds a window of a passage with at most `budget` edits.
 
@@ -124,12 +127,12 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 12, budget: int
     out = None
     for k in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["passage"]) for r in part.collect()])
+        shared = spark.sparkContext.broadcast(tuple((r["item_id"], r["passage"]) for r in part.collect()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(shared.value, window, budget)
+            find = searcher(window, budget, shared.value).search
             for b in batches:
-                rows = [(d, i, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, e in searcher.search(t).items()]
+                rows = [(d, i, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, e in find(t).items()]
                 cols = list(zip(*rows)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["doc_id", "item_id", "edits"])
 
