@@ -3,7 +3,8 @@
 One Aho-Corasick pass over a lower-cased body finds anchors: at-signs and their spellings, URL schemes,
 identifier cues, street words and the parts of known names. A deterministic local parser for each kind
 of anchor expands it to both sides and validates the boundaries; items inside other items are dropped.
-Phones have no cue of their own: their anchor is a plus sign, a bracket or a group of digits.
+Parsers of spelled mails and of street addresses read only the lines around their anchors. Phones have no cue of their
+own: their anchor is a plus sign, a bracket or a group of digits.
 Garbled or look-alike text is read in its repaired spelling and positions are mapped back.
 """
 
@@ -22,6 +23,7 @@ from ..storage import spread
 from . import lookalikes, mojibake
 
 MAX_NAMES = 200_000
+WRAP = 4  # lines over which a wrapped item may run before and after its anchor
 # Labels of identity numbers.
 ID_CUES = """social security number|social security no|ssn|national id|national id number|national insurance number|identity card|id card|id number|identity number|taxpayer id|tax id|tax number|tin|driving licence|driving license|driver's licence|driver's license|driver license|licence number|license number|card number|credit card|debit card|passport|passport number|passport no
 numéro de sécurité sociale|n° de sécurité sociale|carte d'identité|passeport|permis de conduire|numéro fiscal|carte bancaire|numéro de carte
@@ -80,6 +82,30 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _around(text: str, places: list[int], lines: int) -> list[tuple[int, int]]:
+    """The lines that hold the places, and so many before and after each, as stretches of the text that do not meet."""
+    out: list[tuple[int, int]] = []
+    for at in places:
+        if out and at < out[-1][1] and not lines:
+            continue
+        lo = at
+        for _ in range(lines + 1):
+            lo = text.rfind("\n", 0, max(0, lo))
+            if lo < 0:
+                break
+        hi = at
+        for _ in range(lines + 1):
+            hi = text.find("\n", hi + 1)
+            if hi < 0:
+                hi = len(text)
+                break
+        if out and lo + 1 <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo + 1, hi))
+    return out
+
+
 def _ids(s: str) -> list[str]:
     return list(dict.fromkeys(x for line in s.split("\n") for x in line.split("|")))
 
@@ -124,10 +150,11 @@ class Finder:
         n = len(text)
         mails: list[tuple[int, int]] = []
         ids: list[tuple[int, int]] = []
-        streets: set[int] = set()
+        streets: dict[int, list[int]] = {}
         parts: list[tuple[int, int, set]] = []
         urls: list[tuple[int, int]] = []
-        spelled = worded = False
+        spelled: list[int] = []
+        worded: list[int] = []
         for end, (cue, tags) in self.automaton.iter(low):
             a, b = end - len(cue) + 1, end + 1
             if "at" in tags:
@@ -141,9 +168,9 @@ class Finder:
                     if m and start < a:
                         mails.append((start, m.end()))
                 elif "dot" in cue:
-                    worded = True
+                    worded.append(a)
                 else:
-                    spelled = True
+                    spelled.append(a)
                 continue
             if "url" in tags:
                 m = _url.match(text, a)
@@ -151,7 +178,8 @@ class Finder:
                     urls.append((a, m.end()))
                 continue
             if "street" in tags:
-                streets.update(_kinds_of[cue])
+                for k in _kinds_of[cue]:
+                    streets.setdefault(k, []).append(a)
                 if len(tags) == 1:
                     continue
             if (a and (low[a - 1].isalnum() or low[a - 1] == "_")) or (b < n and (low[b].isalnum() or low[b] == "_")):
@@ -166,15 +194,17 @@ class Finder:
                 if (a and low[a - 1] in "-'’" and a > 1 and low[a - 2].isalnum()) or (b + 1 < n and low[b] in "-'’" and low[b + 1].isalnum()):
                     continue
                 parts.append((a, b, tags))
-        if spelled:
-            mails += [m.span() for m in _spelled.finditer(text)]
-        if worded:
-            mails += [m.span() for m in _worded.finditer(text)]
+        # the parsers of spelled mails and addresses read the lines around their anchors, as far as an item may wrap
+        for lo, hi in _around(text, spelled, 0):
+            mails += [m.span() for m in _spelled.finditer(text, lo, hi)]
+        for lo, hi in _around(text, worded, WRAP):
+            mails += [m.span() for m in _worded.finditer(text, lo, hi)]
         found = [("email", a, b) for a, b in mails]
         found += [("id_number", a, b) for a, b in ids]
         found += [("phone", *m.span()) for m in _phone.finditer(text) if 7 <= sum(map(str.isdigit, m.group(0))) <= 15]
-        for k in streets:
-            found += [("address", *m.span()) for m in _streets[k].finditer(text)]
+        for k, places in streets.items():
+            for lo, hi in _around(text, places, WRAP):
+                found += [("address", *m.span()) for m in _streets[k].finditer(text, lo, hi)]
         taken = sorted([(a, b) for _, a, b in found] + urls)
         found += [("name", a, b) for a, b in self._names(text, parts, taken)]
         # an item that lies in another one, or in a URL, does not count; the longer one stays
