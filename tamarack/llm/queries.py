@@ -43,6 +43,13 @@ def oracle_sql():
     return {
         "p4_found": f"with {_SPLIT_TEXT}, {_SHINGLED} select rec_id_a, rec_id_b from p",
         "p4_report": f"with {_SPLIT_TEXT}, {_SHINGLED} select t.split, t.source, count(*) as pairs, count(distinct e) as evaluation_rows, count(distinct tr) as train_rows from p join t on t.id = e group by 1, 2",
+        "p2_found": r"""
+with recursive b as (select rec_id as id, regexp_extract_all(lower(body_text), '[\pL\pN]+') as w from emails), s as (select id, regexp_extract_all(lower(subject), '[\pL\pN]+') as w from triage_log),
+ x as (select distinct 'body_text' as field, id, hash(w[i], w[i + 1], w[i + 2]) as x from (select id, w, unnest(range(1, len(w) - 1)) as i from b where len(w) >= 20) union all select distinct 'subject', id, hash(v) from (select id, unnest(w) as v from s where len(list_distinct(w)) >= 5)),
+ n as (select field, id, count(*) as n from x group by 1, 2), c as (select p.field, p.id as a, q.id as b, count(*) as k from x p join x q on p.field = q.field and p.x = q.x and p.id < q.id group by 1, 2, 3),
+ e as (select c.field, a, b from c join n p on p.field = c.field and p.id = a join n q on q.field = c.field and q.id = b where 10 * k >= 6 * (p.n + q.n - k)), f as (select field, a, b from e union all select field, b, a from e),
+ r as (select field, a, b from f union select r.field, r.a, f.b from r join f on f.field = r.field and f.a = r.b)
+select field, a as row_id, least(a, min(b)) as group_id from r group by 1, 2""",
         "p9_found": r"""
 with i as (select item_id, regexp_extract_all(lower(passage), '[\pL\pN]+') as w from eval_items where passage is not null),
  g as (select item_id, least(12, len(w)) as n, array_to_string(list_slice(w, k, k + least(12, len(w)) - 1), ' ') as g from (select item_id, w, unnest(range(1, len(w) - least(12, len(w)) + 2)) as k from i where len(w) > 0)),
