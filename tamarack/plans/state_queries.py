@@ -98,6 +98,16 @@ def _(read):
     return out
 
 
+_STRIP = r"trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(s, '\[.*?\]|\(.*?\)', '', 'g')), '[\s\-_|:]+(?:account|ref|reference|case|ticket|order|inv|invoice|id|batch|num|number)[\s#:]*[\pL\pN_\-]*\s*$', '')), '[\s\-_#:]+[a-f0-9\-]{3,}\s*$', ''))"
+
+
+@register("cluster_subjects", rf"""with recursive a as (select id, trim(regexp_replace(trim(lower(coalesce(subject, ''))), '^(?:(?:re|fwd|fw|external|notice|urgent|action required|important)[\s\pZ:;\-\]]+)+', '')) as s from triage_log),
+ r as (select id, s, {_STRIP} as t from a union all select id, t, {_STRIP.replace("regexp_replace(s,", "regexp_replace(t,")} from r where t <> s)
+select id, case when z = '' then 'no_subject' else z end as subject_key from (select id, trim(regexp_replace(s, '\s+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13) || '-_:|#') as z from r where s = t)""")
+def _(read):
+    return read("triage_log").select("id", T.cluster_subject(F.col("subject")).alias("subject_key"))
+
+
 # ---- mailboxes ---------------------------------------------------------------------------------------------------
 def _mails(read) -> DataFrame:
     return read("emails").select("rec_id", "subject", F.try_element_at("headers", F.lit("Message-ID")).alias("message_id"))
