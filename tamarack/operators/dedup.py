@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import minhash
+from ..functions import grams
 from ..functions import text as T
 from ..storage import materialize, spread
 
@@ -23,22 +23,37 @@ def first_by_body(df: DataFrame, pos: str, body: str) -> DataFrame:
     return df.join(df.groupBy(T.body_key(F.col(body)).alias("k")).agg(F.min(pos).alias(pos)).select(pos), pos)
 
 
+def _frequent(base: DataFrame, cut: int | None):
+    """The frequent shingles of a sample, as a broadcast of hashes and counts."""
+    some = base.where(F.pmod(F.xxhash64("id"), F.lit(grams.SAMPLE)) == 0).mapInArrow(partial(grams.set_rows, cut=cut), grams.SETS)
+    top = some.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(grams.HOT_MOST).toArrow()
+    h, n = top.column("h").to_numpy().view("uint64"), top.column("n").to_numpy()
+    order = h.argsort()
+    return base.sparkSession.sparkContext.broadcast((h[order], n[order]))
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: Column, threshold: float = 0.85, cut: int | None = None) -> DataFrame:
-    """(a, b), a < b: rows whose character shingles overlap by the threshold, checked exactly. Candidates share
-    minhash.MEET bands of min-hashes; see the README for how many pairs at 0.85 do not, and a lower threshold loses more.
+    """(a, b), a < b: rows whose character shingles overlap by the threshold. Candidates come from the first shingles of
+    each set (see functions/grams.py), which loses no pair at any threshold; they are checked exactly.
 
     Whole texts are compared; with cut=1000 their first 1,000 characters, as in the published operator.
-    Rows of equal shingle sets meet through their class: only its smallest id enters the bands, the rest are linked
+    Rows of equal shingle sets meet through their class: only its smallest id is compared, the rest are linked
     to it. Texts under three characters have no shingles and meet nobody; null ids and texts take no part.
     """
     base = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_col.alias("text")))
-    base = materialize(base.mapInArrow(partial(minhash.shingle_rows, cut=cut), minhash.SCHEMA), "char-shingles")
-    reps = materialize(base.groupBy("key").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.first("bands").alias("bands")), "shingle-classes")
-    copies = base.select("key", "id").join(reps.select("key", F.col("id").alias("a")), "key").where("a != id").select("a", F.col("id").alias("b"))
-    banded = reps.select("id", F.size("s").alias("n"), F.explode("bands").alias("band"))
-    pairs = (banded.select("band", F.col("id").alias("a"), F.col("n").alias("na")).join(banded.select("band", F.col("id").alias("b"), F.col("n").alias("nb")), "band")
-             .where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= minhash.MEET).select("a", "b"))
-    both = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    firsts = materialize(base.mapInArrow(partial(grams.first_rows, hot=_frequent(base, cut), threshold=threshold, cut=cut), grams.FIRSTS), "first-shingles")
+    classes = materialize(firsts.groupBy("key").agg(F.min("id").alias("rep")), "shingle-classes")
+    copies = materialize(firsts.select("key", "id").join(classes, "key").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "shingle-copies")
+    keys = firsts.join(copies.select(F.col("b").alias("id")), "id", "left_anti").select("id", "n", F.posexplode("firsts").alias("at", "h"))
+    side = lambda x: keys.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-6))
+    after = need - F.least(need, F.lit(grams.MEET))
+    near = side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-6)) & (F.col("ata") + after < F.col("na")) & (F.col("atb") + after < F.col("nb")))
+    met = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min(need).alias("need")).where(F.col("met") >= F.least(F.col("need"), F.lit(grams.MEET)))
+    pairs = materialize(met.select("a", "b"), "shingle-candidates")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = materialize(base.join(ids, "id", "left_semi").mapInArrow(partial(grams.set_rows, cut=cut), grams.SETS), "shingle-sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b").union(copies)
 
