@@ -1,149 +1,87 @@
 """Problem 6: each new batch against all that earlier batches left accepted.
 
-Candidates come from a prefix filter on word shingles, which loses no pair at the threshold: of two sets that
-overlap by t the shorter one shares at least 2t/(1+t) of its shingles and the longer one t, so in any common
-order of all shingles their first few hold any wanted number of common ones. Frequent shingles come last in that order, as far
-as a sample of the rows shows them; the sample bears on cost, never on the result. Candidates are checked exactly.
-
-Two ways in, same decisions: `replay` takes a whole log whose batches are already there; `History` keeps a
-shingle table on disk, partitioned by hash, and takes batch after batch, reading only the hash partitions and
-records that the batch touches.
+Chunks are content-defined: a hash rolls over the words, and a chunk ends where the hash meets the boundary mask. The
+mask here is zero bits wide, so a chunk of three words ends after every word: any sparser mask loses pairs at an overlap
+of 0.6 (a few edits in a short body leave no chunk of several words whole), and TESTDATA's measure counts these very
+chunks. `History` is a persistent table of records and their chunks: a take looks its rows' chunks up there, chunks
+shared by two records give their coverage, coverage decides, and the chunks of accepted rows are appended. Of a record's
+chunks only the rarest few, which stand first, are needed to meet every record it may be like (prefix.py); all are
+compared only for the records met.
+
+A take is one or more batches. What repeats the history is known first; only the other rows are compared with one
+another. A campaign is therefore compared with the few of its variants that were accepted, not with itself, and where
+the new rows would still make too many pairs, the take is cut in two: the first part is taken, then the rest.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, spread
+from ..storage import BatchTable, Scratch, materialize, spread, workspace
 from . import pairs as P
+from . import prefix
 from . import shingles as S
 
-MEET = 4  # shingles that a pair must share among the first of both; each costs one more key a row
-SAMPLE = 8  # one row in so many shows which shingles are frequent
-HOT_SEEN = 2  # rows of the sample that make a shingle frequent
-HOT_MOST = 500_000  # frequent shingles sent to every task (8 MB), the most frequent first
-PARTITIONS = 64
+K, THRESHOLD = 3, 0.6
+TAKES = 2  # a backlog of batches is taken in so many groups of batches; None takes every batch alone
+FEW = 16_384  # rows that are never worth cutting
+MOST_IDS = 1_000_000  # ids (8 MB) sent to every task to filter the chunks; more go through a shuffled join
+MOST_PAIRS = 400  # meetings of chunks a new row, on average, beyond which a take is cut in two
+RECORDS, ROWS, HOT, REPEATS = "id bigint, s array<bigint>, k int", "id bigint, mail struct<x:bigint,y:int>", "h bigint, n bigint", "first_id bigint, id bigint"
 
 
-def featurize(rows: DataFrame) -> DataFrame:
-    """(id, body_text) -> (id, key) for bodies of at least 20 words; key: the word sequence's hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [(i, ws) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(ws := S.words(t)) >= 20]
-            keys = [xxhash.xxh3_128_digest(" ".join(ws)) for _, ws in kept]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
-
-    return rows.mapInArrow(run, "id bigint, key binary")
-
-
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """(id, text) -> (id, s): the shingle sets of texts of at least 20 words."""
+def chunked(texts: DataFrame, hot: list[np.ndarray]) -> DataFrame:
+    """(id, text) -> (id, s, k): the chunks in the common order, and how many of them are looked up; no row for texts
+    under 20 words."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [(i, S.shingle_set(ws, k)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(ws := S.words(t)) >= 20]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), P._list_column([s for _, s in kept])], ["id", "s"])
+            ids, sets, firsts = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(ws := S.words(t)) >= 20:
+                    s, k = prefix.ordered(S.shingle_set(ws, K), shared.value, THRESHOLD)
+                    ids.append(i)
+                    sets.append(s)
+                    firsts.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), P._list_column(sets), pa.array(firsts, pa.int32())], ["id", "s", "k"])
 
-    return rows.mapInArrow(run, "id bigint, s array<bigint>")
+    return texts.mapInArrow(run, "id bigint, s array<bigint>, k int")
 
 
-def _least(share: float, n: int) -> int:
-    """The fewest of n shingles that make up the share."""
-    return math.ceil(share * n - 1e-9)
+def lookup_keys(records: DataFrame) -> DataFrame:
+    """(id, s, k) -> (h, id, n, at)."""
+    return records.select("id", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), F.col("k"))).alias("at", "h")).select("h", "id", "n", "at")
 
 
-def hot_shingles(texts: DataFrame, k: int) -> list[np.ndarray]:
-    """Hashes, ascending, and counts of the shingles that many rows of a sample hold."""
-    some = _sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), k)
-    counts = some.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_SEEN)
-    found = counts.orderBy(F.desc("n"), "h").limit(HOT_MOST).toArrow()
-    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(h)
-    return [h[order], n[order]]
+def covered(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b) -> those of enough coverage. pairs: materialised; a, b: (id, s), where the sides' chunks stand. Only the
+    chunks of records that are met move."""
+    side = lambda t, x: P.only_ids(t, "id", pairs.select(F.col(x).alias("id")).distinct()).select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+    return pairs.join(side(a, "a"), "a").join(side(b, "b"), "b").where(P.alike("sa", "sb", THRESHOLD)).select("a", "b")
 
 
-def prefix_keys(texts: DataFrame, hot: list[np.ndarray], k: int, threshold: float) -> DataFrame:
-    """(id, text) -> (id, n, at, h): the first shingles h of each text of at least 20 words, at their places in the
-    common order; n: how many it has. The order is by how often a shingle stands in the sample, then by hash."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
-        for b in batches:
-            ids, sizes, lengths, firsts = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if len(ws := S.words(t)) < 20:
-                    continue
-                s = S.shingle_set(ws, k)
-                if not len(s):
-                    continue
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, counts[at], 0)
-                    if rank.any():
-                        s = s[np.lexsort((s, rank))]
-                first = s[: len(s) - _least(threshold, len(s)) + MEET]
-                ids.append(i)
-                sizes.append(len(s))
-                lengths.append(len(first))
-                firsts.append(first)
-            h = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
-            at = np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]) if lengths else np.empty(0, np.int32)
-            cols = [np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), at, h.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "n", "at", "h"])
-
-    return texts.mapInArrow(run, "id bigint, n int, at int, h bigint")
-
-
-def _exact(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b) -> those whose shingle overlap reaches the threshold."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "cover-ids")
-
-    full = materialize(_sets(P.only_ids(texts, "id", ids), k), "cover-sets")
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 10_000 >= (F.size("sa") + F.size("sb") - shared) * round(threshold * 10_000)).select("a", "b")
-
-
-def like_pairs(texts: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
-    """Pairs (a, b), a < b, of like texts. texts: (id, text), one per distinct text.
-
-    Sizes n and m that overlap by the threshold t share c >= t / (1 + t) * (n + m) shingles. The MEET first of the
-    shared ones (all, if c is less) have at least c - MEET shared ones after them in both texts, which bounds their
-    places; only meetings at such places count, and a pair with fewer of them is none.
-    """
-    keys = prefix_keys(texts, hot_shingles(texts, k), k, threshold)
-    side = lambda x: keys.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-6))
-    after = need - F.least(need, F.lit(MEET))
-    met = side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("ata") + after < F.col("na")) & (F.col("atb") + after < F.col("nb")))
-    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min(need).alias("need")).where(F.col("met") >= F.least(F.col("need"), F.lit(MEET)))
-    return _exact(materialize(often.select("a", "b"), "prefix-candidates"), texts, k, threshold)
-
-
-def decide(rows: DataFrame, watches: DataFrame) -> DataFrame:
+def decide(rows: DataFrame, watches: DataFrame, known: DataFrame, keep=materialize) -> DataFrame:
     """(id, first_id) of the repeats. rows: (id, rank, key) a row owns the keys of its mail id and text class;
-    watches: (key, seen) a row owning `key` repeats any earlier accepted row that owns `seen`.
+    watches: (key, seen) a row owning `key` repeats any earlier accepted row that owns `seen`; known: (id) rows that
+    are repeats already and so never accepted, but may repeat an accepted one of these rows as well.
 
     Rounds: a row is accepted once no undecided and no accepted row before it is in sight, and is a repeat
     once an accepted one is. Each round decides at least the first open row of every key, all at once, from
     combined minima; nothing is gathered by key.
     """
-    sight = materialize(rows.select("id", "rank", "key").join(watches, "key").select("id", "rank", "seen").distinct(), "sight")
+    sight = keep(rows.select("id", "rank", "key").join(watches, "key").select("id", "rank", "seen").distinct(), "sight")
     owned = rows.select("id", "rank", F.col("key").alias("seen"))
     # a key that only one row owns and no other row sees settles nothing
     busy = sight.groupBy("seen").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("seen")
-    sight = materialize(sight.join(busy, "seen"), "sight")
-    owned = materialize(owned.join(busy, "seen"), "owned")
-    open_ = materialize(sight.select("id", "rank").distinct(), "open-rows")
+    sight = keep(sight.join(busy, "seen"), "sight")
+    owned = keep(owned.join(busy, "seen"), "owned")
+    open_ = keep(sight.select("id", "rank").distinct().join(known.select("id"), "id", "left_anti"), "open-rows")
     accepted = None
     while not open_.isEmpty():
         first_open = owned.join(open_.select("id"), "id", "left_semi").groupBy("seen").agg(F.min("rank").alias("o"))
@@ -153,11 +91,11 @@ def decide(rows: DataFrame, watches: DataFrame) -> DataFrame:
             state = state.join(taken, "seen", "left")
         else:
             state = state.withColumn("t", F.lit(None).cast(rows.schema["rank"].dataType))
-        judged = materialize(
+        judged = keep(
             state.groupBy("id", "rank").agg(F.min("o").alias("o"), F.min("t").alias("t"))
             .select("id", "rank", F.when(F.col("t") < F.col("rank"), "repeat").when(F.col("o") >= F.col("rank"), "accept").otherwise("open").alias("state")), "judged")
         new = judged.where("state = 'accept'").select("id", "rank")
-        accepted = materialize(new if accepted is None else accepted.union(new), "accepted")
+        accepted = keep(new if accepted is None else accepted.union(new), "accepted")
         open_ = judged.where("state = 'open'").select("id", "rank")
     if accepted is None:
         return rows.select("id", F.col("id").alias("first_id")).limit(0)
@@ -167,89 +105,154 @@ def decide(rows: DataFrame, watches: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.min("first").alias("first_id"))
 
 
-def replay(log: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
-    """(first_id, id) of each repeat in a log, batch by batch, then id.
-
-    A null email_id equals no other; null and short bodies are compared by email_id only; a null batch
-    comes first. Every row's body is worked a fixed number of times, whatever the number of batches.
-    """
-    log = log.where("id is not null")
-    texts = spread(log.select("id", F.col("body_text").alias("text")).where("length(body_text) >= 39"))
-    feats = materialize(featurize(texts), "keyed")
-    classes = materialize(feats.groupBy("key").agg(F.min("id").alias("id")), "text-classes")
-    copies = materialize(feats.select("key", "id").join(classes.select("key", F.col("id").alias("rep")), "key").where("id != rep").select("id"), "text-copies")
-    like = materialize(like_pairs(P.only_ids(texts, "id", copies, "left_anti"), k, threshold), "like-classes")
-    rank = F.struct(F.col("batch_no").cast("bigint").alias("batch"), F.col("id").alias("id"))
-    ranks = log.select("id", rank.alias("rank"), "email_id")
-    key = lambda kind, h, g: F.struct(F.lit(kind).alias("kind"), h.alias("h"), g.alias("g"))
-    t = lambda c: key("t", F.col(c), F.lit(0))
-    # only what could meet another row: mail ids met twice, texts met twice or like another
-    mails = ranks.where("email_id is not null").select("id", "rank", key("m", F.xxhash64("email_id"), F.hash("email_id")).alias("key"))
-    twice = mails.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    by_mail = mails.join(twice, "key").select("id", "rank", "key")
-    met = like.select(F.col("a").alias("rep")).union(like.select("b")).union(feats.join(copies, "id", "left_semi").join(classes.select("key", F.col("id").alias("rep")), "key").select("rep")).distinct()
-    of_class = feats.select("id", "key").join(classes.select("key", F.col("id").alias("rep")).join(met, "rep"), "key").select("id", t("rep").alias("key"))
-    rows = materialize(by_mail.union(ranks.select("id", "rank").join(of_class, "id").select("id", "rank", "key")), "owned-keys")
-    near = like.select(t("a").alias("key"), t("b").alias("seen")).union(like.select(t("b"), t("a")))
-    watches = rows.select("key").distinct().select("key", F.col("key").alias("seen")).union(near)
-    return decide(rows, watches).select("first_id", "id")
-
-
-def rarest(met: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """(hash): the shingles by which each row must be looked up. met: (id, hash, df), those that are in the table;
-    a row's others come first in the order of rarity. sizes: (id, n)."""
-    listed = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("c")).join(sizes, "id")
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    take = F.greatest(first - (F.col("n") - F.size("c")), F.lit(0)).cast("int")
-    return listed.select(F.explode(F.slice("c", F.lit(1), take)).alias("x")).select(F.col("x.hash").alias("hash"))
-
-
 class History:
-    """What earlier batches left accepted: a shingle table and a record table under one folder.
+    """What earlier batches left accepted: a chunk table and what decides, under one folder.
 
-    Both are partitioned by hash, so a batch reads only the partitions its own hashes fall into and, in
-    those, only matching shingles; accepted rows are appended, nothing is rewritten. All shingles of an accepted
-    row are kept, so a new row finds what is like it by its own rarest ones. One folder holds one k.
+    A take is one atomic batch of the table: a crash leaves nothing of it, and a take of a name that is there already
+    only returns its repeats. A take reads the chunks of the history (8 bytes each), never its texts; the rarest of each
+    record are looked up, and all of a record's chunks move only where its rows meet it.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _exists(self, name: str) -> bool:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs)
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if self._exists(name):
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return self.spark.createDataFrame([], schema)
-
-    def take(self, batch: DataFrame, k: int = 3, threshold: float = 0.6) -> DataFrame:
-        """(first_id, id) of the batch's repeats; its other rows are accepted into the history."""
-        part = F.pmod(F.col("hash"), F.lit(PARTITIONS)).cast("int")
-        table = f"shingles-{k}"
-        if self._exists("records") and not self._exists(table):
-            raise ValueError(f"{self.path} has no table of {k}-word shingles")
-        old_shingles = self._read(table, "hash bigint, id bigint, part int")
-        old_rows = self._read("records", "id bigint, email_id string, text string, bucket int")
-        batch = materialize(batch.where("id is not null").select("id", "email_id", "body_text", "batch_no"), "batch")
-        sets = materialize(_sets(batch.select("id", "body_text"), k).where(F.size("s") > 0), "batch-sets")
-        own = sets.select("id", F.explode("s").alias("hash"))
-        mine = materialize(own.select("hash").distinct().withColumn("part", part), "batch-hashes")
-        met = old_shingles.join(mine, ["part", "hash"], "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-        keys = materialize(rarest(own.join(met, "hash"), sets.select("id", F.size("s").alias("n")), threshold).distinct().withColumn("part", part), "batch-rare")
-        touched = materialize(old_shingles.join(keys, ["part", "hash"], "left_semi").select("id").distinct().withColumn("bucket", F.pmod("id", F.lit(PARTITIONS)).cast("int")), "touched")
-        same = old_rows.where("email_id is not null").join(batch.select("email_id").distinct(), "email_id", "left_semi")
-        near = old_rows.join(touched, ["bucket", "id"], "left_semi")
-        old = same.union(near.select(same.columns)).select("id", "email_id", F.col("text").alias("body_text"), F.lit(-1).cast("bigint").alias("batch_no")).distinct()
-        found = materialize(replay(old.unionByName(batch.select("id", "email_id", "body_text", F.lit(0).cast("bigint").alias("batch_no"))), k, threshold), "batch-repeats")
-        fresh = materialize(batch.join(found.select("id"), "id", "left_anti"), "batch-accepted")
-        repeats = found.join(batch.select("id"), "id", "left_semi").select("first_id", "id")
-        rows = fresh.select("id", "email_id", F.col("body_text").alias("text"), F.pmod("id", F.lit(PARTITIONS)).cast("int").alias("bucket"))
-        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/records")
-        kept = own.join(fresh.select("id"), "id", "left_semi")
-        kept.select("hash", "id", part.alias("part")).write.mode("append").partitionBy("part").parquet(f"{self.path}/{table}")
-        return repeats
+    def __init__(self, spark: SparkSession, path: str, sample: DataFrame | None = None):
+        """sample: (id, body_text) rows that show which chunks are frequent, the first take's where none are given."""
+        self.spark, self.table, self.sample = spark, BatchTable(spark, path), sample
+
+    def _hot(self, rows: DataFrame) -> list[np.ndarray]:
+        """The order of chunks, fixed by the first take for good: it bears on cost alone."""
+        if "0-order" not in self.table.batches():
+            seen = spread((rows if self.sample is None else self.sample).where("id is not null and length(body_text) >= 39").select("id", F.col("body_text").alias("text")))
+            h, n = prefix.hot_shingles(seen, K)
+            self.table.append("0-order", hot=self.spark.createDataFrame(pa.table({"h": h.view(np.int64), "n": n})).select(F.col("h").cast("bigint"), F.col("n").cast("bigint")))
+        got = self.table.read("hot", HOT).orderBy(F.col("h")).toArrow()
+        h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        order = np.argsort(h)
+        return [h[order], n[order]]
+
+    def take(self, name: str, rows: DataFrame) -> DataFrame:
+        """(first_id, id) of the repeats among rows (id, email_id, body_text, batch_no); the others are accepted.
+
+        Rows go by batch_no (null first), then id. A null email_id equals no other; null and short bodies are compared by
+        email_id only; rows without an id are left out. Names sort as the takes follow each other.
+        """
+        if f"1-{name}" not in self.table.batches():
+            rows = rows.where("id is not null")
+            begun = self._parts(name)
+            if begun:  # a take that was cut and broke off: its finished parts stand
+                done = self.table.read("rows", ROWS, begun).select("id").union(self.table.read("repeats", REPEATS, begun).select("id"))
+                rows = rows.join(done, "id", "left_anti")
+            rank = F.struct(F.col("batch_no").cast("bigint").alias("batch"), F.col("id").alias("id"))
+            mail = F.when(F.col("email_id").isNotNull(), F.struct(F.xxhash64("email_id").alias("x"), F.hash("email_id").alias("y")))
+            texts = spread(rows.where("length(body_text) >= 39").select("id", F.col("body_text").alias("text")))
+            scratch = Scratch(self.spark)
+            heads = scratch.keep(rows.select("id", rank.alias("rank"), mail.alias("mail")), "heads")
+            # classes of equal texts: their first row stands for all
+            keyed = scratch.keep(rows.where("length(body_text) >= 39").select("id", F.unhex(F.md5("body_text")).alias("key")), "text-keys")
+            members = scratch.keep(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep"), "members")
+            reps = scratch.keep(chunked(P.only_ids(texts, "id", members.where("id != rep").select("id"), "left_anti", MOST_IDS), self._hot(rows)), "chunks")
+            members = scratch.keep(members.join(reps.select(F.col("id").alias("rep")), "rep", "left_semi"), "members")
+            self._settle(name, heads, members, reps, scratch)
+            scratch.clear()
+        return self.repeats(name)
+
+    def _parts(self, name: str) -> list[str]:
+        return [b for b in self.table.batches() if b == f"1-{name}" or b.startswith(f"1-{name}.")]
+
+    def repeats(self, name: str) -> DataFrame:
+        """What a take found, all parts of it."""
+        return self.table.read("repeats", REPEATS, self._parts(name))
+
+    def _settle(self, name: str, heads: DataFrame, members: DataFrame, reps: DataFrame, scratch: Scratch) -> None:
+        """heads: (id, rank, mail); members: (id, rep), the class of each row with a text; reps: (id, s, k)."""
+        keep = scratch.keep
+        old_rows, old = self.table.read("rows", ROWS), self.table.read("records", RECORDS)
+        known = heads.select("id", F.col("id").alias("first")).limit(0)
+        rising = True
+        if any(b.startswith("1-") for b in self.table.batches()):
+            a, b = prefix.sides(lookup_keys(reps), lookup_keys(old))
+            met = keep(prefix.met(a.join(b.hint("merge"), "h"), THRESHOLD), "met-history")
+            by_text = members.join(covered(met, reps, old).groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("first")), "rep").select("id", "first")
+            by_mail = heads.where("mail is not null").select("id", "mail").join(old_rows.where("mail is not null").select("mail", F.col("id").alias("first")), "mail").select("id", "first")
+            known = keep(by_text.union(by_mail).groupBy("id").agg(F.min("first").alias("first")), "known")
+            rising = (heads.agg(F.min("id")).first()[0] or 0) > (old_rows.agg(F.max("id")).first()[0] or 0)
+        open_reps = reps
+        if rising:
+            # a known repeat of a smaller id than any new row's needs no comparison with these; a class of such rows is done
+            state = members.join(known.select("id", F.lit(True).alias("k")), "id", "left").groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("k"))
+            open_reps = P.only_ids(reps, "id", keep(state.where("n = k").select("id"), "done"), "left_anti", MOST_IDS)
+        keys = lookup_keys(open_reps)
+        if self._cut(name, heads, members, reps, keys, scratch):
+            return
+        a, b = prefix.sides(keys, keys)
+        met = keep(prefix.met(a.join(b.hint("merge"), "h").where("a < b"), THRESHOLD), "met-new")
+        like = keep(covered(met, reps, reps), "like-new")
+        key = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+        text = lambda c: key("t", F.col(c), F.lit(0))
+        # only what could meet another row: mail ids met twice, texts met twice or like another
+        mails = heads.where("mail is not null").select("id", "rank", key("m", F.col("mail.x"), F.col("mail.y")).alias("key"))
+        twice = mails.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        shared = members.where("id != rep").select("rep").union(like.select("a")).union(like.select("b")).distinct()
+        of_text = members.join(shared, "rep").join(heads.select("id", "rank"), "id").select("id", "rank", text("rep").alias("key"))
+        owned = keep(mails.join(twice, "key").select("id", "rank", "key").union(of_text), "owned-keys")
+        watches = owned.select("key").distinct().select("key", F.col("key").alias("seen")).union(like.select(text("a"), text("b"))).union(like.select(text("b"), text("a")))
+        new = decide(owned, watches, known, keep).select("id", F.col("first_id").alias("first"))
+        found = keep(known.union(new).groupBy("id").agg(F.min("first").alias("first_id")).select("first_id", "id"), "repeats")
+        fresh = heads.join(found.select("id"), "id", "left_anti")
+        kept = members.join(fresh.select("id"), "id", "left_semi")
+        if not kept.where("id != rep").isEmpty():  # an accepted row whose class begins with a repeat
+            reps = kept.join(reps.withColumnRenamed("id", "rep"), "rep").select("id", "s", "k")
+        else:
+            reps = P.only_ids(reps, "id", found.select("id"), "left_anti", MOST_IDS)
+        self.table.append(f"1-{name}", rows=fresh.select("id", "mail"), records=reps, repeats=found)
+
+    def _cut(self, name: str, heads: DataFrame, members: DataFrame, reps: DataFrame, keys: DataFrame, scratch: Scratch) -> bool:
+        """Takes the rows in two parts where their keys would meet too often, as those of a new large campaign do."""
+        # the meetings on one chunk in sixteen tell their number well enough: it bears on cost alone
+        many = 16 * (keys.where("h & 15 = 0").groupBy("h").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0.0)
+        if many <= MOST_PAIRS * FEW or many <= MOST_PAIRS * (n := heads.count()) or n <= FEW:
+            return False
+        # near the first eighth of the rows in their order; any cut gives the same repeats
+        batch = F.coalesce(F.col("rank.batch").cast("double"), F.lit(-1.0))
+        at = heads.select(batch.alias("b")).approxQuantile("b", [0.125], 0.01)[0]
+        inside = heads.where(batch == at).select(F.col("id").cast("double").alias("i"))
+        share = heads.where(batch < at).count()
+        cut = inside.approxQuantile("i", [min(1.0, max(0.0, (n / 8 - share) / max(1, inside.count())))], 0.01)[0]
+        early = (batch < at) | ((batch == at) & (F.col("id") <= cut))
+        parts = [scratch.keep(heads.where(early), "heads"), scratch.keep(heads.where(~early), "heads")]
+        if any(p.isEmpty() for p in parts):
+            return False
+        for tag, part in zip("ab", parts):
+            mine = members.join(part.select("id"), "id", "left_semi")
+            first = mine.groupBy("rep").agg(F.min("id").alias("new"))  # a class may begin later in its part
+            some = scratch.keep(first.join(reps.withColumnRenamed("id", "rep"), "rep").select(F.col("new").alias("id"), "s", "k"), "chunks")
+            self._settle(f"{name}.{tag}", part, scratch.keep(mine.join(first, "rep").select("id", F.col("new").alias("rep")), "members"), some, scratch)
+        self.table.append(f"1-{name}", repeats=self.spark.createDataFrame([], REPEATS))  # marks the whole
+        return True
+
+
+def steps(log: DataFrame, takes: int | None = TAKES) -> list[list[int | None]]:
+    """The batches of a log in order, in at most `takes` groups of about equal rows, or each alone."""
+    sizes = sorted(((r["batch_no"], r["n"]) for r in log.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (x[0] is not None, x[0]))  # one row a batch
+    if takes is None:
+        return [[b] for b, _ in sizes]
+    out: list[list[int | None]] = [[] for _ in range(takes)]
+    total, before = max(1, sum(n for _, n in sizes)), 0
+    for b, n in sizes:
+        out[before * takes // total].append(b)
+        before += n
+    return [g for g in out if g]
+
+
+def replay(log: DataFrame, groups: list[list[int | None]] | None = None) -> DataFrame:
+    """(first_id, id) of each repeat in a log, taken into a new history by groups of batches (see steps), in order. The
+    groups bear on cost alone: fewer takes cost less, more of them are what happens as batches arrive."""
+    log = log.select("id", "email_id", "body_text", F.col("batch_no").cast("bigint").alias("batch_no"))
+    store = History(log.sparkSession, workspace(log.sparkSession, "history"), log)
+    out = log.sparkSession.createDataFrame([], REPEATS)
+    for k, batches in enumerate(steps(log) if groups is None else groups):
+        some = [b for b in batches if b is not None]
+        of = F.col("batch_no").isin(some) if some else F.lit(False)
+        out = out.union(store.take(f"{k:06d}", log.where(of | F.col("batch_no").isNull() if None in batches else of)))
+    return out
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
@@ -257,6 +260,6 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_accepted(spark, sf_dir: str) -> DataFrame:
-    """(id): the rows newly accepted."""
+    """(id): the rows newly accepted, every batch taken alone."""
     log = spark.read.parquet(f"{sf_dir}/triage_log.parquet")
-    return log.select("id").join(replay(log).select("id"), "id", "left_anti")
+    return log.select("id").join(replay(log, steps(log, None)).select("id"), "id", "left_anti")

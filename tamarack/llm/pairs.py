@@ -54,9 +54,10 @@ def featurize(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, key binary, sig array<bigint>, flag boolean")
 
 
-def only_ids(df: DataFrame, on: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of df whose `on` is among ids.id (a materialised table of distinct ids), or with left_anti is not."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def only_ids(df: DataFrame, on: str, ids: DataFrame, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of df whose `on` is among ids.id (a materialised table of distinct ids), or with left_anti is not. Up to
+    `most` ids are broadcast."""
+    small = ids.limit(most + 1).count() <= most
     ids = ids.withColumnRenamed("id", "__id")
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), F.col(on) == F.col("__id"), how)
 

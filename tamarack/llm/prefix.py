@@ -46,16 +46,16 @@ def hot_shingles(texts: DataFrame, k: int) -> list[np.ndarray]:
     return [h[order], n[order]]
 
 
-def first_shingles(s: np.ndarray, hot: list[np.ndarray], threshold: float) -> np.ndarray:
-    """The shingles of a set that come first in the common order (by count in the sample, then hash): as many as a
-    like set must share MEET of."""
+def ordered(s: np.ndarray, hot: list[np.ndarray], threshold: float) -> tuple[np.ndarray, int]:
+    """A set in the common order (by count in the sample, then hash), and how many come first: as many as a like set
+    must share MEET of."""
     known, counts = hot
-    if len(known):
+    if len(known) and len(s):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         rank = np.where(known[at] == s, counts[at], 0)
         if rank.any():
             s = s[np.lexsort((s, rank))]
-    return s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + MEET]
+    return s, min(len(s), len(s) - math.ceil(threshold * len(s) - 1e-9) + MEET)
 
 
 def keys(texts: DataFrame, hot: list[np.ndarray], k: int, threshold: float) -> DataFrame:
@@ -70,7 +70,8 @@ def keys(texts: DataFrame, hot: list[np.ndarray], k: int, threshold: float) -> D
                 if len(ws := S.words(t)) >= 20 and len(s := S.shingle_set(ws, k)):
                     ids.append(i)
                     sizes.append(len(s))
-                    firsts.append(first_shingles(s, shared.value, threshold))
+                    s, first = ordered(s, shared.value, threshold)
+                    firsts.append(s[:first])
             lengths = [len(f) for f in firsts]
             h = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
             at = np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]) if lengths else np.empty(0, np.int32)
@@ -80,22 +81,29 @@ def keys(texts: DataFrame, hot: list[np.ndarray], k: int, threshold: float) -> D
     return texts.mapInArrow(run, "id bigint, n int, at int, h bigint")
 
 
+def packed(t: DataFrame, x: str) -> DataFrame:
+    """(h, id, n, at) -> (h, x, px): a side of a meeting in rows as narrow as they get: 40 bits of the hash, which may
+    make a meeting too many, never one too few, and size and place in one number."""
+    return t.select(F.shiftrightunsigned("h", 24).alias("h"), F.col("id").alias(x), F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("at").cast("bigint")).alias(f"p{x}"))
+
+
 def sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Key tables with their columns named for the first (a) and second (b) of a pair."""
-    side = lambda t, x: t.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
-    return side(left, "a"), side(right, "b")
+    """Key tables as the first (a) and second (b) of a pair."""
+    return packed(left, "a"), packed(right, "b")
 
 
 def met(joined: DataFrame, threshold: float) -> DataFrame:
-    """Key tables joined on h -> (a, b) that meet often enough.
+    """Key tables (a, pa) and (b, pb) joined on h -> (a, b) that meet often enough.
 
     Sizes n and m that overlap by the threshold t share c >= t / (1 + t) * (n + m) shingles. The MEET first of the
     shared ones (all, if c is less) have at least c - MEET shared ones after them in both texts, which bounds their
     places; only meetings at such places count, and a pair with fewer of them is none.
     """
-    need: Column = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-6))
+    size, place = (lambda p: F.shiftright(p, 32)), (lambda p: F.col(p).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+    na, nb = size("pa"), size("pb")
+    need: Column = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - F.lit(1e-6))
     after = need - F.least(need, F.lit(MEET))
-    near = joined.where((F.col("ata") + after < F.col("na")) & (F.col("atb") + after < F.col("nb")))
+    near = joined.where((place("pa") + after < na) & (place("pb") + after < nb))
     often = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min(need).alias("need"))
     return often.where(F.col("met") >= F.least(F.col("need"), F.lit(MEET))).select("a", "b")
 
@@ -119,9 +127,9 @@ def across(texts: DataFrame, labels: DataFrame, k: int, threshold: float) -> Dat
     size = found.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
     top = size.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("h", "top")
     small = found.join(top, "h").where("comp != top")
-    joined = (small.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("comp").alias("ca"))
-              .join(found.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("comp").alias("cb")), "h").where("ca != cb"))
+    label = lambda x: labels.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
+    joined = packed(small, "a").join(label("a"), "a").join(packed(found, "b").join(label("b"), "b"), "h").where("ca != cb")
     # a pair of two small rows meets from both sides: taken once
-    once = joined.select("h", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
-                         F.when(F.col("a") < F.col("b"), F.col("ata")).otherwise(F.col("atb")).alias("ata"), F.when(F.col("a") < F.col("b"), F.col("atb")).otherwise(F.col("ata")).alias("atb")).distinct()
+    swap = F.col("a") > F.col("b")
+    once = joined.select("h", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("pb")).otherwise(F.col("pa")).alias("pa"), F.when(swap, F.col("pa")).otherwise(F.col("pb")).alias("pb")).distinct()
     return exact(materialize(met(once, threshold), "prefix-candidates"), some, k, threshold)

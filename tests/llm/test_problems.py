@@ -1,6 +1,7 @@
 """Each problem on rows made by hand, and every query on empty and odd tables."""
 
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -310,10 +311,12 @@ def test_history_against_brute_force_and_batch_by_batch(spark, corpus, tmp_path)
     log = spark.createDataFrame(rows, LOG)
     want = replayed(rows)
     assert {tuple(x) for x in history.replay(log).collect()} == want
-    store, got = history.History(spark, str(tmp_path / "h")), set()
-    for b in range(1, 3):
-        got |= {tuple(x) for x in store.take(log.where(F.col("batch_no") == b)).collect()}
-    assert got == want
+    assert {tuple(x) for x in history.replay(log, [[1], [2]]).collect()} == want
+    store = history.History(spark, str(tmp_path / "h"))
+    for b in (1, 2):
+        for _ in range(2):  # a take that is repeated changes nothing
+            got = {tuple(x) for x in store.take(str(b), log.where(F.col("batch_no") == b)).collect()}
+            assert got == {x for x in want if rows[x[1]][4] == b}
 
 
 def edited(r, text, low=0.6, high=0.75):
@@ -346,10 +349,26 @@ def test_history_finds_short_and_heavily_edited_bodies(spark, tmp_path):
     want = replayed(rows)
     log = spark.createDataFrame(rows, LOG)
     assert {tuple(x) for x in history.replay(log).collect()} == want
-    store, got = history.History(spark, str(tmp_path / "h")), set()
-    for b in (1, 2):
-        got |= {tuple(x) for x in store.take(log.where(F.col("batch_no") == b)).collect()}
-    assert got == want
+    assert {tuple(x) for x in history.replay(log, [[1], [2]]).collect()} == want
+
+
+def test_history_in_parts_and_with_falling_ids(spark, corpus, monkeypatch, tmp_path):
+    r = random.Random(12)
+    rows = [(len(corpus) - i, r.choice([None, f"m{r.randrange(60)}"]), "", t, r.choice([None, 1, 2, 3])) for i, t in enumerate(corpus)]
+    want = replayed([(*x[:4], -1 if x[4] is None else x[4]) for x in rows])
+    log = spark.createDataFrame(rows, LOG)
+    assert {tuple(x) for x in history.replay(log, [[None, 1], [2], [3]]).collect()} == want
+    monkeypatch.setattr(history, "FEW", 20)
+    monkeypatch.setattr(history, "MOST_PAIRS", 30)
+    assert history.steps(log, None) == [[None], [1], [2], [3]] and sum(history.steps(log), []) == [None, 1, 2, 3] and len(history.steps(log)) == 2
+    store = history.History(spark, str(tmp_path / "h"))
+    assert {tuple(x) for x in store.take("x", log).collect()} == want
+    parts = [b for b in store.table.batches() if b.startswith("1-x.")]
+    assert len(parts) >= 2
+    for gone in ("1-x", max(parts)):  # as if the take had broken off: the mark alone is missing, then a part as well
+        shutil.rmtree(tmp_path / "h" / f"batch-{gone}")
+        shutil.rmtree(tmp_path / "h" / "batch-1-x", ignore_errors=True)
+        assert {tuple(x) for x in store.take("x", log).collect()} == want
 
 
 # ---- every query on odd tables
