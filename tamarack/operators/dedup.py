@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grams
 from ..functions import text as T
 from ..storage import materialize, spread
+from .tiles import Tiles, meet
+
+TILE_LEAST, TILE_MOST = 2048, 65_536  # rows a tile: a fortieth of all, within these bounds
 
 
 def exact(df: DataFrame, key: str, pos: str, source: str) -> DataFrame:
@@ -23,39 +28,40 @@ def first_by_body(df: DataFrame, pos: str, body: str) -> DataFrame:
     return df.join(df.groupBy(T.body_key(F.col(body)).alias("k")).agg(F.min(pos).alias(pos)).select(pos), pos)
 
 
-def _frequent(base: DataFrame, cut: int | None):
-    """The frequent shingles of a sample, as a broadcast of hashes and counts."""
-    some = base.where(F.pmod(F.xxhash64("id"), F.lit(grams.SAMPLE)) == 0).mapInArrow(partial(grams.set_rows, cut=cut), grams.SETS)
-    top = some.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(grams.HOT_MOST).toArrow()
-    h, n = top.column("h").to_numpy().view("uint64"), top.column("n").to_numpy()
-    order = h.argsort()
-    return base.sparkSession.sparkContext.broadcast((h[order], n[order]))
-
-
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: Column, threshold: float = 0.85, cut: int | None = None) -> DataFrame:
-    """(a, b), a < b: rows whose character shingles overlap by the threshold. Candidates come from the first shingles of
-    each set (see functions/grams.py), which loses no pair at any threshold; they are checked exactly.
+    """(a, b), a < b: rows whose character shingles overlap by the threshold. Candidates come from bit sketches of the sets
+    (see functions/grams.py), compared each with each of like size in packed words, which loses no pair; they are checked
+    exactly on the texts.
 
     Whole texts are compared; with cut=1000 their first 1,000 characters, as in the published operator.
     Rows of equal shingle sets meet through their class: only its smallest id is compared, the rest are linked
     to it. Texts under three characters have no shingles and meet nobody; null ids and texts take no part.
     """
     base = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_col.alias("text")))
-    firsts = materialize(base.mapInArrow(partial(grams.first_rows, hot=_frequent(base, cut), threshold=threshold, cut=cut), grams.FIRSTS), "first-shingles")
-    classes = materialize(firsts.groupBy("key").agg(F.min("id").alias("rep")), "shingle-classes")
-    copies = materialize(firsts.select("key", "id").join(classes, "key").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "shingle-copies")
-    keys = firsts.join(copies.select(F.col("b").alias("id")), "id", "left_anti").select("id", "n", F.posexplode("firsts").alias("at", "h"))
-    side = lambda x: keys.select("h", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-6))
-    after = need - F.least(need, F.lit(grams.MEET))
-    near = side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-6)) & (F.col("ata") + after < F.col("na")) & (F.col("atb") + after < F.col("nb")))
-    met = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min(need).alias("need")).where(F.col("met") >= F.least(F.col("need"), F.lit(grams.MEET)))
-    pairs = materialize(met.select("a", "b"), "shingle-candidates")
+    marked = materialize(base.mapInArrow(partial(grams.sketch_rows, cut=cut), grams.SKETCHES), "shingle-sketches")
+    classes = materialize(marked.groupBy("key").agg(F.min(F.struct("id", "n", "cell", "sketch")).alias("x")).select("key", "x.*"), "shingle-classes")
+    # files and shuffles of ids are packed many times smaller than they are in memory: their size is no leave to broadcast
+    copies = marked.select("key", F.col("id").alias("b")).join(classes.select("key", F.col("id").alias("a")).hint("merge"), "key").where("a != b").select("a", "b")
+    pairs = materialize(_candidates(classes.select("id", "n", "cell", "sketch"), threshold), "shingle-candidates")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(base.join(ids, "id", "left_semi").mapInArrow(partial(grams.set_rows, cut=cut), grams.SETS), "shingle-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b").union(copies)
+    texts = materialize(base.join(ids.hint("merge"), "id", "left_semi"), "shingle-texts")
+    both = pairs.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(partial(grams.alike_rows, threshold=threshold, cut=cut), "a bigint, b bigint").union(copies)
+
+
+def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of (id, n, cell, sketch): what the sketches do not rule out."""
+    sizes = reps.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).orderBy("cell").toArrow()  # 64 cells for each doubling of n
+    cells, rows, low, high = (sizes.column(c).to_numpy().astype("int64") for c in ("cell", "rows", "low", "high"))
+    tiles = Tiles(rows, int(min(TILE_MOST, max(TILE_LEAST, rows.sum() // 40))))
+    pairs = [(i, j) for j in range(len(tiles.low)) for i in range(j + 1) if high[tiles.high[i]] >= threshold * low[tiles.low[j]] - 1e-6]
+    shared = reps.sparkSession.sparkContext.broadcast((cells, tiles))
+
+    def place(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        cells, tiles = shared.value
+        return np.arange(len(b)), tiles.of(np.searchsorted(cells, b.column("cell").to_numpy()), b.column("id").to_numpy())
+
+    return meet(reps, place, pairs, partial(grams.may_be_alike, threshold=threshold)).select("a", "b")
 
 
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:

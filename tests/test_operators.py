@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tamarack.functions import grams
 from tamarack.functions import text as T
 from tamarack.graph import connected_components
-from tamarack.operators import audit, campaigns, dedup, evaluation, features, feedback, ledger, model, sampling
+from tamarack.operators import audit, campaigns, dedup, evaluation, features, feedback, ledger, model, sampling, tiles
 from tamarack.plans import registry
 
 MAIL = "rec_id bigint, subject string, body_text string, sender_display_name string, sender_address string, reply_to string, urls array<string>, attachments array<struct<filename:string,mime_type:string>>"
@@ -155,6 +155,36 @@ def test_whole_texts_are_compared(spark):
     assert [(x["a"], x["b"]) for x in dedup.near_duplicate_pairs(df, "rec_id", F.col("t"), cut=1000).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("most", [1, 3, 7, 100])
+def test_tiles_hold_no_more_than_they_may(most):
+    r = np.random.default_rng(9)
+    counts = r.integers(0, 12, 40)
+    t = tiles.Tiles(counts, most, starts=[20])
+    cells = np.repeat(np.arange(40), counts)
+    tile = t.of(cells, np.arange(len(cells)))
+    for c, x in zip(cells, tile):
+        assert t.low[x] <= c <= t.high[x] and not t.low[x] < 20 <= t.high[x]
+    whole = [x for x in range(len(t.low)) if t.parts[t.low[x]] == 1]
+    assert all((tile == x).sum() <= most for x in whole) and sum(counts) == len(tile)
+
+
+def test_near_duplicates_are_no_rows_for_each_common_shingle(spark, monkeypatch):
+    """Texts of few letters, of which each two share most shingles: found as by brute force over cut tiles, and nothing whose
+    size is bounded by the input alone is broadcast."""
+    monkeypatch.setattr(dedup, "TILE_LEAST", 50)
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdef") for _ in range(r.choice([60, 110, 140, 700]))) for _ in range(260)]
+    texts += [t[:-4] + "zzzz" for t in texts[::3]] + texts[:20]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    pairs = dedup.near_duplicate_pairs(df, "id", F.col("t"))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    sets = [set(grams.shingles(t, {}).tolist()) for t in texts]
+    rep = {frozenset(s): i for i, s in reversed(list(enumerate(sets)))}
+    want = {(a, b) for a, b in itertools.combinations(sorted(rep.values()), 2) if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
+    want |= {(rep[frozenset(s)], i) for i, s in enumerate(sets) if rep[frozenset(s)] != i}
+    assert sorted((x["a"], x["b"]) for x in pairs.collect()) == sorted(want) and len(want) > 100
+
+
 def test_pairs_at_the_threshold_are_all_found(spark):
     """Texts with letters changed until their overlap is just over 0.85: none is lost."""
     r = random.Random(7)
