@@ -70,15 +70,16 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     ids: (id, rank). Rounds: a row without an earlier undecided or kept neighbour stays, its later neighbours leave.
     """
     order = ids.select("id", F.struct("rank", "id").alias("o"))
+    pairs = materialize(pairs, "greedy-pairs")  # read twice; packed ids are many times larger in memory, so none is broadcast
     edges = pairs.union(pairs.select("b", "a")).distinct()
-    edges = (edges.join(order.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(order.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b").where("oa < ob").select("a", "b"))
+    edges = (edges.hint("merge").join(order.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(order.select(F.col("id").alias("b"), F.col("o").alias("ob")).hint("merge"), "b").where("oa < ob").select("a", "b"))
     edges = materialize(edges, "greedy-edges")
     open_ = materialize(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "greedy-open")
     dropped = None
     while not open_.isEmpty():
-        live = edges.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi")
-        kept = open_.join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-        lost = materialize(live.join(kept.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "greedy-lost")
+        live = edges.join(open_.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").join(open_.select(F.col("id").alias("b")).hint("merge"), "b", "left_semi")
+        kept = open_.join(live.select(F.col("b").alias("id")).distinct().hint("merge"), "id", "left_anti")
+        lost = materialize(live.join(kept.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "greedy-lost")
         dropped = lost if dropped is None else dropped.union(lost)
-        open_ = materialize(open_.join(kept, "id", "left_anti").join(lost, "id", "left_anti"), "greedy-open")
-    return ids.select("id") if dropped is None else ids.select("id").join(dropped, "id", "left_anti")
+        open_ = materialize(open_.join(kept.hint("merge"), "id", "left_anti").join(lost.hint("merge"), "id", "left_anti"), "greedy-open")
+    return ids.select("id") if dropped is None else ids.select("id").join(dropped.hint("merge"), "id", "left_anti")

@@ -137,6 +137,13 @@ def test_greedy_keep(spark):
     assert {x["id"] for x in got.collect()} == set(kept)
 
 
+def test_greedy_keep_broadcasts_no_ids(spark):
+    ids, pairs = spark.createDataFrame([(i, 0) for i in range(9)], "id bigint, rank int"), spark.createDataFrame([(0, 1), (1, 2), (4, 8)], "a bigint, b bigint")
+    got = dedup.greedy_keep(ids, pairs)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {x["id"] for x in got.collect()} == {0, 2, 3, 4, 5, 6, 7}
+
+
 def test_near_duplicates_by_characters(spark, small):
     df = spark.read.parquet(f"{small}/emails.parquet")
     text = F.concat(T.text("subject"), F.lit(" "), T.text("body_text"))
