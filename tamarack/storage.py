@@ -26,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here.
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df as Parquet, with the writer's options, to the shared folder and read it back: lineage ends here.
 
     A lost executor costs nothing, since the files belong to no executor.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tamarack/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

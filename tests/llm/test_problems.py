@@ -206,6 +206,16 @@ def test_residue_is_learned(spark):
     assert clean == {r["doc_id"] for r in docs.collect()} - all_
 
 
+def test_residue_without_a_known_concept(spark):
+    """Wordings that hold no slot, code or word of errors, learned from the pages they go with: every passage is judged."""
+    alone = ["If you think this is wrong, write to the site owner about the archive view.", "Try the message list again in a few minutes.", "Menu | Home | Contact\nLoading the newsletter ..."]
+    plain = ["We meet at noon.", "The late payroll file is now with the audit cell.", "(end of mail)"]
+    assert all(residue.uniform(p) == p for t in alone + plain for p in residue.passages(t))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(alone + plain)], "doc_id bigint, text string"))
+    assert {r["doc_id"] - 10**9 for r in residue.found(docs).where("doc_id >= 1000000000").collect()} == {0, 1, 2}
+
+
 # ---- pairs
 def test_bayes_pruning_keeps_what_is_alike():
     r = np.random.default_rng(4)
