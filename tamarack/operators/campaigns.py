@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import spread
+from ..storage import materialize, spread
+from .tiles import Tiles, meet
 
 
 def simhash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,18 +73,64 @@ def campaign_ids(df: DataFrame, id_col: str, subject: str, body: str, sender: st
     return campaign_key(key.join(simhash(df, id_col, body), "id"))
 
 
+SLICE_BITS = 11  # bits of a slice that rows meet by, at most: 2,048 cells a slice
+TILE_LEAST, TILE_MOST = 1024, 32_768  # rows a tile: a 64th of all, within these bounds
+
+
+def _sliced(bits: int) -> list[tuple[int, int]]:
+    """(lowest bit, mask) of the bits + 1 slices of a hash."""
+    cuts = [round(64 * k / (bits + 1)) for k in range(bits + 2)]
+    return [(a, (1 << min(b - a, SLICE_BITS)) - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def within(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance), a < b, of a task's rows (see tiles.py) of equal `cell` within `bits` differing bits. A pair that
+    meets in several slices is taken in the first of them."""
+    side, cell, ids, h = (table.column(c).to_numpy() for c in ("side", "cell", "id", "simhash"))
+    order = np.lexsort((cell, side))
+    cell, ids, h, ones = cell[order], ids[order], h[order].view(np.uint64), int(side.sum())
+    split, slices = len(cell) - ones, _sliced(bits)
+    out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(cell[:split])) + 1, [split]]) if split else np.array([0])
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        c = int(cell[lo])
+        lo1, hi1 = (split + np.searchsorted(cell[split:], [c, c + 1])).tolist() if ones else (lo, hi)
+        for i in range(lo, hi, 256):
+            for j in range(lo1 if ones else i, hi1, 4096):
+                x, y = h[i : min(i + 256, hi)], h[j : min(j + 4096, hi1)]
+                u, v = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= bits)
+                ok = ids[i + u] != ids[j + v]
+                if not ones:
+                    ok &= i + u < j + v
+                d = x[u] ^ y[v]
+                for low, mask in slices[: c >> SLICE_BITS]:
+                    ok &= (d >> np.uint64(low)) & np.uint64(mask) != 0
+                a, b = ids[i + u[ok]], ids[j + v[ok]]
+                out.append((np.minimum(a, b), np.maximum(a, b), np.bitwise_count(d[ok]).astype(np.int64)))
+    a, b, d = (np.concatenate(c) for c in zip(*out))
+    return a, b, d
+
+
 def near_pairs(hashes: DataFrame, bits: int = 5) -> DataFrame:
     """(a, b, distance), a < b: distinct hashes within `bits` differing bits.
 
-    Split in bits + 1 slices, one must be equal (pigeonhole): an equi-join on slices, then the exact count.
+    Split in bits + 1 slices, one must be equal (pigeonhole): rows of an equal slice are compared each with each in packed
+    words, in tasks of bounded size whatever share of the rows has the slice (tiles.py), so only pairs become rows.
     """
-    slices = bits + 1
-    cuts = [round(64 * k / slices) for k in range(slices + 1)]
-    part = lambda lo, hi: F.shiftrightunsigned("simhash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-    keyed = hashes.select("id", "simhash", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(a, b).alias("v")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])).alias("slice"))
-    pair = keyed.select("slice", F.col("id").alias("a"), F.col("simhash").alias("ha")).join(keyed.select("slice", F.col("id").alias("b"), F.col("simhash").alias("hb")), "slice")
-    d = T.hamming(F.col("ha"), F.col("hb")).cast("bigint")
-    return pair.where((F.col("a") < F.col("b")) & (d <= bits)).select("a", "b", d.alias("distance")).distinct()
+    hashes = materialize(hashes.select("id", "simhash").where("id is not null and simhash is not null"), "hamming-hashes")
+    cells = F.array(*[F.shiftrightunsigned("simhash", low).bitwiseAND(F.lit(mask)).cast("bigint") + F.lit(k << SLICE_BITS) for k, (low, mask) in enumerate(_sliced(bits))])
+    keyed = hashes.select("id", "simhash", F.explode(cells).alias("cell"))
+    held = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row for each of 2,048 cells a slice
+    counts = np.zeros((bits + 1) << SLICE_BITS, np.int64)
+    counts[held.column("cell").to_numpy()] = held.column("n").to_numpy()
+    tiles = Tiles(counts, int(min(TILE_MOST, max(TILE_LEAST, counts.sum() // (bits + 1) // 64))), range(0, len(counts), 1 << SLICE_BITS))
+    pairs = [(i, j) for i in range(len(tiles.low)) for j in range(i, i + 1 if tiles.parts[tiles.low[i]] == 1 else tiles.first[tiles.low[i]] + tiles.parts[tiles.low[i]])]
+    shared = hashes.sparkSession.sparkContext.broadcast(tiles)
+
+    def place(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(b)), shared.value.of(b.column("cell").to_numpy(), b.column("id").to_numpy())
+
+    return meet(keyed, place, pairs, partial(within, bits=bits))
 
 
 def representatives(hashes: DataFrame) -> DataFrame:

@@ -84,6 +84,18 @@ def test_near_pairs_are_complete(spark):
     assert got == {(i, j, d) for i, j in itertools.combinations(range(len(hs)), 2) if (d := bin(hs[i] ^ hs[j]).count("1")) <= 5}
 
 
+def test_near_pairs_of_a_slice_that_all_rows_share(spark, monkeypatch):
+    """Hashes of one upper half: cut into tiles, each pair once, and no row is made of a pair before it is one."""
+    monkeypatch.setattr(campaigns, "TILE_LEAST", 40)
+    r = random.Random(2)
+    hs = list({r.getrandbits(22) for _ in range(300)})
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hs)], "id bigint, simhash bigint")
+    pairs = campaigns.near_pairs(df)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    want = [(i, j, d) for i, j in itertools.combinations(range(len(hs)), 2) if (d := bin(hs[i] ^ hs[j]).count("1")) <= 5]
+    assert sorted((x["a"], x["b"], x["distance"]) for x in pairs.collect()) == want and len(want) > 100
+
+
 def test_hamming_queries_keep_every_row(spark, tmp_path):
     body = "the parcel for you waits at the gate until noon and must be fetched by hand "
     texts = [body, body.upper(), body + "now", "short", "Short!", "", None, "a quite different matter of the yearly meeting"] + [body * 9] * 2
