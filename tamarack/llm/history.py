@@ -30,7 +30,8 @@ from . import shingles as S
 K, THRESHOLD = 3, 0.6
 TAKES = 2  # a backlog of batches is taken in so many groups of batches; None takes every batch alone
 FEW = 16_384  # rows that are never worth cutting
-MOST_IDS = 1_000_000  # ids (8 MB) sent to every task to filter the chunks; more go through a shuffled join
+MOST_IDS = 1_000_000  # ids (8 MB) sent to every task to pick rows of texts or chunks; of more, a bit map (see of_ids)
+MOST_WORDS = 1 << 20  # words of 64 bits of such a map (16 MB)
 MOST_PAIRS = 400  # meetings of chunks a new row, on average, beyond which a take is cut in two
 RECORDS, ROWS, HOT, REPEATS = "id bigint, s array<bigint>, k int", "id bigint, mail struct<x:bigint,y:int>", "h bigint, n bigint", "first_id bigint, id bigint"
 
@@ -54,6 +55,21 @@ def chunked(texts: DataFrame, hot: list[np.ndarray]) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, s array<bigint>, k int")
 
 
+def of_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose id is among ids (distinct), or with left_anti is not. Up to MOST_IDS ids are broadcast. Of more, a
+    bit map of their hashes is, with eight bits an id as long as it may grow: only the rows it shows, those of the ids and
+    about one in eight of the others, meet the ids in a shuffled join, so texts and chunks never move as a whole."""
+    if (n := ids.count()) <= MOST_IDS:
+        return df.join(F.broadcast(ids.withColumnRenamed("id", "__id")), F.col("id") == F.col("__id"), how)
+    mask = min(64 * MOST_WORDS, 1 << (8 * n).bit_length()) - 1
+    place = F.xxhash64("id").bitwiseAND(F.lit(mask).cast("bigint"))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+    bits = ids.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.expr("bit_or(shiftleft(1L, __bit))").alias("__bits"))
+    shown = df.join(F.broadcast(bits), word == F.col("__word"), "left").withColumn("__shown", F.coalesce(F.bit_get("__bits", bit) == 1, F.lit(False)))
+    exact = shown.where("__shown").select(*df.columns).join(ids.withColumnRenamed("id", "__id").hint("merge"), F.col("id") == F.col("__id"), how)
+    return exact if how == "left_semi" else exact.union(shown.where("not __shown").select(*df.columns))
+
+
 def lookup_keys(records: DataFrame) -> DataFrame:
     """(id, s, k) -> (h, id, n, at)."""
     return records.select("id", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), F.col("k"))).alias("at", "h")).select("h", "id", "n", "at")
@@ -62,10 +78,15 @@ def lookup_keys(records: DataFrame) -> DataFrame:
 def covered(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b) -> those of enough coverage. pairs: materialised; a, b: (id, s), where the sides' chunks stand. Only the
     chunks of records that are met move."""
-    side = lambda t, x: P.only_ids(t, "id", pairs.select(F.col(x).alias("id")).distinct()).select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+    side = lambda t, x: of_ids(t, pairs.select(F.col(x).alias("id")).distinct()).select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
     return pairs.join(side(a, "a"), "a").join(side(b, "b"), "b").where(P.alike("sa", "sb", THRESHOLD)).select("a", "b")
 
 
+def under(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """reps: (id, s, k), ids: (rep, id), few -> the chunks of each rep under the id given for it."""
+    return ids.join(of_ids(reps, ids.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep"), "rep").select("id", "s", "k")
+
+
 def decide(rows: DataFrame, watches: DataFrame, known: DataFrame, keep=materialize) -> DataFrame:
     """(id, first_id) of the repeats. rows: (id, rank, key) a row owns the keys of its mail id and text class;
     watches: (key, seen) a row owning `key` repeats any earlier accepted row that owns `seen`; known: (id) rows that
@@ -148,7 +169,7 @@ class History:
             # classes of equal texts: their first row stands for all
             keyed = scratch.keep(rows.where("length(body_text) >= 39").select("id", F.unhex(F.md5("body_text")).alias("key")), "text-keys")
             members = scratch.keep(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep"), "members")
-            reps = scratch.keep(chunked(P.only_ids(texts, "id", members.where("id != rep").select("id"), "left_anti", MOST_IDS), self._hot(rows)), "chunks")
+            reps = scratch.keep(chunked(of_ids(texts, members.where("id != rep").select("id"), "left_anti"), self._hot(rows)), "chunks")
             members = scratch.keep(members.join(reps.select(F.col("id").alias("rep")), "rep", "left_semi"), "members")
             self._settle(name, heads, members, reps, scratch)
             scratch.clear()
@@ -178,7 +199,7 @@ class History:
         if rising:
             # a known repeat of a smaller id than any new row's needs no comparison with these; a class of such rows is done
             state = members.join(known.select("id", F.lit(True).alias("k")), "id", "left").groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("k"))
-            open_reps = P.only_ids(reps, "id", keep(state.where("n = k").select("id"), "done"), "left_anti", MOST_IDS)
+            open_reps = of_ids(reps, keep(state.where("n = k").select("id"), "done"), "left_anti")
         keys = lookup_keys(open_reps)
         if self._cut(name, heads, members, reps, keys, scratch):
             return
@@ -197,12 +218,11 @@ class History:
         new = decide(owned, watches, known, keep).select("id", F.col("first_id").alias("first"))
         found = keep(known.union(new).groupBy("id").agg(F.min("first").alias("first_id")).select("first_id", "id"), "repeats")
         fresh = heads.join(found.select("id"), "id", "left_anti")
-        kept = members.join(fresh.select("id"), "id", "left_semi")
-        if not kept.where("id != rep").isEmpty():  # an accepted row whose class begins with a repeat
-            reps = kept.join(reps.withColumnRenamed("id", "rep"), "rep").select("id", "s", "k")
-        else:
-            reps = P.only_ids(reps, "id", found.select("id"), "left_anti", MOST_IDS)
-        self.table.append(f"1-{name}", rows=fresh.select("id", "mail"), records=reps, repeats=found)
+        records = of_ids(reps, found.select("id"), "left_anti")
+        late = keep(members.where("id != rep").join(found.select("id"), "id", "left_anti"), "late")
+        if not late.isEmpty():  # accepted rows whose class begins with a repeat
+            records = records.union(under(reps, late))
+        self.table.append(f"1-{name}", rows=fresh.select("id", "mail"), records=records, repeats=found)
 
     def _cut(self, name: str, heads: DataFrame, members: DataFrame, reps: DataFrame, keys: DataFrame, scratch: Scratch) -> bool:
         """Takes the rows in two parts where their keys would meet too often, as those of a new large campaign do."""
@@ -222,8 +242,9 @@ class History:
             return False
         for tag, part in zip("ab", parts):
             mine = members.join(part.select("id"), "id", "left_semi")
-            first = mine.groupBy("rep").agg(F.min("id").alias("new"))  # a class may begin later in its part
-            some = scratch.keep(first.join(reps.withColumnRenamed("id", "rep"), "rep").select(F.col("new").alias("id"), "s", "k"), "chunks")
+            first = scratch.keep(mine.groupBy("rep").agg(F.min("id").alias("new")), "first")  # a class may begin later in its part
+            moved = first.where("rep != new").select("rep", F.col("new").alias("id"))
+            some = scratch.keep(of_ids(reps, first.where("rep = new").select(F.col("rep").alias("id"))).union(under(reps, moved)), "chunks")
             self._settle(f"{name}.{tag}", part, scratch.keep(mine.join(first, "rep").select("id", F.col("new").alias("rep")), "members"), some, scratch)
         self.table.append(f"1-{name}", repeats=self.spark.createDataFrame([], REPEATS))  # marks the whole
         return True

@@ -381,6 +381,67 @@ def test_history_in_parts_and_with_falling_ids(spark, corpus, monkeypatch, tmp_p
         assert {tuple(x) for x in store.take("x", log).collect()} == want
 
 
+def shuffled(spark):
+    """MB that all tasks so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size())) / 1e6
+
+
+def test_history_moves_few_sets_where_a_class_begins_with_a_repeat(spark, tmp_path):
+    r = random.Random(77)
+    texts = [words(r, 150) for _ in range(1500)]
+    moved = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on a large table
+    try:
+        for late in (False, True):
+            rows = [(i, f"u{i}", "", t, 1) for i, t in enumerate(texts)]
+            rows[10] = (10, "u3", "", texts[10], 1)  # a repeat of row 3
+            rows[20] = (20, "u20", "", texts[10] if late else texts[20], 1)  # accepted: the row of its text is not
+            before = shuffled(spark)
+            store = history.History(spark, str(tmp_path / str(late)))
+            assert [tuple(x) for x in store.take("1", spark.createDataFrame(rows, LOG)).collect()] == [(3, 10)]
+            moved.append(shuffled(spark) - before)
+            held = store.table.read("records", history.RECORDS)
+            assert {x["id"] for x in held.collect()} == set(range(1500)) - {10}
+            again = [(2000, None, "", texts[10], 2)]
+            assert [tuple(x) for x in store.take("2", spark.createDataFrame(again, LOG)).collect()] == ([(20, 2000)] if late else [])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sets = 1500 * 148 * 8 / 1e6
+    assert moved[1] - moved[0] < 0.2 * sets, (moved, sets)
+
+
+def test_history_with_more_ids_than_are_sent(spark, corpus, monkeypatch, tmp_path):
+    r = random.Random(78)
+    table = spark.createDataFrame([(i * 7919, bytes(r.randrange(256) for _ in range(500))) for i in range(4000)], "id bigint, s binary").localCheckpoint()
+    ids = spark.createDataFrame([(i * 7919,) for i in range(3900, 4100)], "id bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(history, "MOST_IDS", 50)
+        for most, share in ((1 << 20, 0.3), (1, 1.2)):  # with one word for all, more rows meet the ids
+            monkeypatch.setattr(history, "MOST_WORDS", most)
+            for how, want in (("left_semi", set(range(3900, 4000))), ("left_anti", set(range(3900)))):
+                before = shuffled(spark)
+                got = history.of_ids(table, ids, how)
+                assert got.columns == table.columns and sorted(x["id"] for x in got.collect()) == sorted(i * 7919 for i in want)
+                assert shuffled(spark) - before < share * 4000 * 500 / 1e6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(history, "MOST_IDS", 0)
+    monkeypatch.setattr(history, "MOST_WORDS", 1 << 20)
+    rows = [(len(corpus) - i, r.choice([None, f"m{r.randrange(60)}"]), "", t, r.choice([1, 2, 3])) for i, t in enumerate(corpus)]
+    rows += [(5000 + i, None, "", rows[i][3], 3) for i in range(40)]
+    want = replayed(rows)
+    log = spark.createDataFrame(rows, LOG)
+    assert {tuple(x) for x in history.replay(log).collect()} == want
+    monkeypatch.setattr(history, "FEW", 20)
+    monkeypatch.setattr(history, "MOST_PAIRS", 30)
+    store = history.History(spark, str(tmp_path / "cut"))
+    assert {tuple(x) for x in store.take("x", log).collect()} == want and len([b for b in store.table.batches() if b.startswith("1-x.")]) >= 2
+
+
 # ---- every query on odd tables
 ODD = [None, "", " ", "\n\n", "\x00", "�", "x" * 200_000, "word " * 20_000, "> " * 50, "@", "a@", "{{", "Ã", "ñ" * 3000, "‍", "𝖬" * 300, "http://", "-- ", "From:\nTo:"]
 
