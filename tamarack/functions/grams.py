@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 
 MOST_BITS = 1 << 15
-SKETCHES = "id bigint, key binary, n int, cell int, sketch binary"
+SKETCHES = "id bigint, rank int, key binary, n int, cell int, sketch binary"
 _SPACE = re.compile(r"\s+")
 
 
@@ -45,11 +45,11 @@ def cell(n: int) -> int:
 
 
 def sketch_rows(batches: Iterator[pa.RecordBatch], cut: int | None = None) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> SKETCHES; texts without shingles give no row. key: 128-bit hash of the set."""
+    """(id, rank, text) -> SKETCHES; texts without shingles give no row. key: 128-bit hash of the set."""
     for b in batches:
-        rows = [(i, xxhash.xxh3_128_digest(s.tobytes()), len(s), cell(len(s)), sketch(s)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(s := shingles(t, None, cut))]
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "key", "n", "cell", "sketch"])
+        rows = [(i, k, xxhash.xxh3_128_digest(s.tobytes()), len(s), cell(len(s)), sketch(s)) for i, k, t in zip(*(c.to_pylist() for c in b.columns)) if len(s := shingles(t, None, cut))]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "rank", "key", "n", "cell", "sketch"])
 
 
 class Side:

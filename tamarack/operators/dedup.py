@@ -29,24 +29,32 @@ def first_by_body(df: DataFrame, pos: str, body: str) -> DataFrame:
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: Column, threshold: float = 0.85, cut: int | None = None) -> DataFrame:
-    """(a, b), a < b: rows whose character shingles overlap by the threshold. Candidates come from bit sketches of the sets
-    (see functions/grams.py), compared each with each of like size in packed words, which loses no pair; they are checked
+    """(a, b), a < b: rows whose character shingles overlap by the threshold. Rows of equal shingle sets are a class: only
+    its smallest id is paired with other classes, the rest are linked to it (see near_duplicate_classes)."""
+    pairs, copies = near_duplicate_classes(df, id_col, text_col, F.lit(0), threshold, cut)
+    return pairs.union(copies)
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str, text_col: Column, rank: Column, threshold: float = 0.85, cut: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal shingle sets are a class, for which its first row by rank, then id, stands. Gives the pairs (a, b),
+    a < b, of first rows whose character shingles overlap by the threshold, and (a, b) of each first row and the other
+    rows of its class, which meet all that the first row meets. Candidates come from bit sketches of the sets (see
+    functions/grams.py), compared each with each of like size in packed words, which loses no pair; they are checked
     exactly on the texts.
 
     Whole texts are compared; with cut=1000 their first 1,000 characters, as in the published operator.
-    Rows of equal shingle sets meet through their class: only its smallest id is compared, the rest are linked
-    to it. Texts under three characters have no shingles and meet nobody; null ids and texts take no part.
+    Texts under three characters have no shingles and meet nobody; null ids and texts take no part.
     """
-    base = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_col.alias("text")))
+    base = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), rank.cast("int").alias("rank"), text_col.alias("text")))
     marked = materialize(base.mapInArrow(partial(grams.sketch_rows, cut=cut), grams.SKETCHES), "shingle-sketches")
-    classes = materialize(marked.groupBy("key").agg(F.min(F.struct("id", "n", "cell", "sketch")).alias("x")).select("key", "x.*"), "shingle-classes")
+    classes = materialize(marked.groupBy("key").agg(F.min(F.struct("rank", "id", "n", "cell", "sketch")).alias("x")).select("key", "x.*"), "shingle-classes")
     # files and shuffles of ids are packed many times smaller than they are in memory: their size is no leave to broadcast
     copies = marked.select("key", F.col("id").alias("b")).join(classes.select("key", F.col("id").alias("a")).hint("merge"), "key").where("a != b").select("a", "b")
     pairs = materialize(_candidates(classes.select("id", "n", "cell", "sketch"), threshold), "shingle-candidates")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialize(base.join(ids.hint("merge"), "id", "left_semi"), "shingle-texts")
+    texts = materialize(base.select("id", "text").join(ids.hint("merge"), "id", "left_semi"), "shingle-texts")
     both = pairs.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(partial(grams.alike_rows, threshold=threshold, cut=cut), "a bigint, b bigint").union(copies)
+    return both.select("a", "b", "ta", "tb").mapInArrow(partial(grams.alike_rows, threshold=threshold, cut=cut), "a bigint, b bigint"), copies
 
 
 def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
@@ -64,8 +72,20 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     return meet(reps, place, pairs, partial(grams.may_be_alike, threshold=threshold)).select("a", "b")
 
 
+def greedy(df: DataFrame, id_col: str, text_col: Column, rank: Column, threshold: float = 0.85, cut: int | None = None) -> DataFrame:
+    """(id) that stay when rows are taken by rank, then id, and a row leaves if a near-duplicate of it stayed.
+
+    Rows of a class meet the same rows, so its first row decides: if it stays the others leave for it, and if it leaves
+    for another row they come later and leave for that row too. Only first rows take part in the rounds.
+    """
+    pairs, copies = near_duplicate_classes(df, id_col, text_col, rank, threshold, cut)
+    kept = greedy_keep(df.select(F.col(id_col).alias("id"), rank.alias("rank")), pairs)
+    return kept.join(copies.select(F.col("b").alias("id")).hint("merge"), "id", "left_anti")
+
+
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id) that stay when rows are taken by rank, then id, and a row leaves if one that stayed is its near-duplicate.
+    """(id) that stay when rows are taken by rank, then id, and a row leaves if one that stayed is its near-duplicate:
+    the pairs must hold all near-duplicates of the rows that they name (not links to a first row alone, see greedy).
 
     ids: (id, rank). Rounds: a row without an earlier undecided or kept neighbour stays, its later neighbours leave.
     """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as X
 
@@ -205,8 +205,8 @@ def _(read):
     return dedup.first_by_body(read("emails"), "rec_id", "body_text").select("rec_id")
 
 
-def _near(read) -> DataFrame:
-    return dedup.near_duplicate_pairs(read("emails"), "rec_id", F.concat(T.text("subject"), F.lit(" "), T.text("body_text")))
+def _mail_text() -> Column:
+    return F.concat(T.text("subject"), F.lit(" "), T.text("body_text"))
 
 
 @register("near_character_pairs", r"""
@@ -216,13 +216,12 @@ with t as (select rec_id, regexp_replace(lower(coalesce(subject, '') || ' ' || c
  p as (select a.id as a, b.id as b, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb from u a join u b on a.x = b.x and a.id < b.id and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) group by 1, 2)
 select a, b from p where k >= 0.85 * (na + nb - k) union all select c.id, g.rec_id from g join c using (g) where g.rec_id <> c.id""")
 def _(read):
-    return _near(read)
+    return dedup.near_duplicate_pairs(read("emails"), "rec_id", _mail_text())
 
 
 @register("greedy_near_dedup")
 def _(read):
-    ids = read("emails").select(F.col("rec_id").alias("id"), T.source_rank(F.col("source")).alias("rank"))
-    return dedup.greedy_keep(ids, _near(read)).select(F.col("id").alias("rec_id"))
+    return dedup.greedy(read("emails"), "rec_id", _mail_text(), T.source_rank(F.col("source"))).select(F.col("id").alias("rec_id"))
 
 
 @register("split_overlap", f"""

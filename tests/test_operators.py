@@ -156,6 +156,33 @@ def test_greedy_keep_broadcasts_no_ids(spark):
     assert {x["id"] for x in got.collect()} == {0, 2, 3, 4, 5, 6, 7}
 
 
+def test_greedy_near_dedup_knows_the_links_of_equal_rows(spark, tmp_path):
+    """An equal row with a near row before both, and one whose source is better than that of the smaller id: as greedy by
+    brute force, and nothing whose size is bounded by the input alone is broadcast."""
+    r = random.Random(12)
+    some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = []
+    for _ in range(40):
+        a = some(r.choice([40, 120, 300]))
+        b, c = a[:-1] + "0", "1" + a[1:-1] + "0"
+        texts += r.choices([a, b, c, some(60), "x", None], k=6)
+    rows = [(i, t, r.choice(["kaggle", "nazario", "trec", "other", None])) for i, t in enumerate(texts)]
+    rows += [(1000, "the parcel waits at the gate, fetch it", "x"), (1001, "the parcel waits at the gate, fetch it!", "x"), (1002, "the parcel waits at the gate, fetch it!", "x")]
+    rows += [(1010, "a yearly meeting of all in the big hall", "x"), (1011, "a yearly meeting of all in the big hall", "nazario"), (1012, "a yearly meeting of all in the big hall.", "trec")]
+    df = spark.createDataFrame(rows, "rec_id bigint, body_text string, source string").withColumn("subject", F.lit(None).cast("string"))
+    df.write.parquet(f"{tmp_path}/emails.parquet")
+    sets = {i: set(grams.shingles(" " + (t or "")).tolist()) for i, t, _ in rows}
+    rank = {x["rec_id"]: x["k"] for x in df.select("rec_id", T.source_rank(F.col("source")).alias("k")).collect()}
+    kept: list = []
+    for i in sorted(sets, key=lambda i: (rank[i], i)):
+        if not any(sets[i] and len(sets[i] & sets[k]) >= 0.85 * len(sets[i] | sets[k]) for k in kept):
+            kept.append(i)
+    got = registry.queries()["greedy_near_dedup"](spark, str(tmp_path))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(x["rec_id"] for x in got.collect()) == sorted(kept)
+    assert {1000, 1011} <= set(kept) and not {1001, 1002, 1010, 1012} & set(kept) and len(kept) < len(rows) - 60
+
+
 def test_near_duplicates_by_characters(spark, small):
     df = spark.read.parquet(f"{small}/emails.parquet")
     text = F.concat(T.text("subject"), F.lit(" "), T.text("body_text"))
